@@ -20,6 +20,9 @@ _inverses = np.ones(1, np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 IS_WORD = (~IS_SPACE).view(np.int8)
+#: Letters and digits of ASCII and every byte of longer characters.
+IS_ALNUM = np.zeros(256, np.int8)
+IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -63,13 +66,17 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of data[start:end] for each pair, from one pass of prefix sums."""
+def span_hasher(data: np.ndarray):
+    """A function of (starts, ends) that hashes data[start:end] for each pair, from one pass of prefix sums."""
     n = len(data)
     powers, inverses = _tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends)
 
 
 def word_hashes(data: np.ndarray, lower: bool = True) -> np.ndarray:
