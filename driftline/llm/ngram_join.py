@@ -16,10 +16,10 @@ and the other has not stopped before it. A set with fewer informative segments a
 second space, and, if those are fewer than ``D + 1``, each member in a third; any pair that the first space can miss
 meets there. So no link between different sets is lost.
 
-Within a bucket nothing is paired with everything: equal sets are one class from the start, each batch of rows joins
-its classes of a bucket to one of them and sends only that one on, and the rest of the bucket is joined to its smallest
-class. After these star pairs are verified, only classes of one bucket that are still in different components are
-compared with each other. Pairs are verified on whole sets.
+Equal sets are one class from the start, and each batch of rows sends only one of its classes of a bucket through
+the shuffle that finds the buckets with company. A bucket's classes are then compared with one pivot at a time (see
+``_links``); only those still in different components after that are compared with each other. Pairs are verified on whole
+sets.
 """
 
 from __future__ import annotations
@@ -153,17 +153,63 @@ def _side(classes: DataFrame, side: str, *more) -> DataFrame:
     return classes.select(*more, F.col("cid").alias(side), F.col("n").alias(f"n{side}"), *(F.col(f"s{k}").alias(f"s{side}{k}") for k in range(SKETCH_WORDS)))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
-    """Those of ``pairs`` (a, na, b, nb) whose whole sets meet the threshold."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid").select("rep")
+def _whole_sets(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, members) of every class that meets another one in a bucket."""
+    need = members.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("rep")
     own = docs.select("text", F.col("id").alias("_id")).join(need.distinct(), F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = materialize(own.mapInArrow(_set_rows(words), "cid long, members array<bigint>").dropDuplicates(["cid"]), "sets")
+    return materialize(own.mapInArrow(_set_rows(words), "cid long, members array<bigint>").dropDuplicates(["cid"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, ratio: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, na, b, nb) whose whole sets meet the threshold."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
     shared = F.size(F.array_intersect("ma", "mb"))
     return both.where(ratio.denominator * shared >= ratio.numerator * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction | str = "4/5") -> DataFrame:
+def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, ratio: Fraction, star_rounds: int) -> DataFrame:
+    """(node, component) of the classes that link, from the buckets ``members`` (key, cid).
+
+    Star rounds first: in every bucket all classes outside the pivot's component are compared with the pivot, which is
+    the class with the most company over all its buckets (an original rather than one of its variants), later one drawn by
+    a hash. What is still apart in a bucket after that is compared pair by pair.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    company = materialize(members.join(sizes, "key").groupBy("cid").agg(F.sum("size").alias("company")), "company")
+    known = classes.drop("rep").join(company, "cid")
+    inside, links, tried, found = members.withColumn("component", F.col("cid")), None, None, None
+    for turn in range(star_rounds + 1):
+        rows = materialize(inside.join(known, "cid"), "inside")
+        if turn < star_rounds:
+            order = F.struct("company", "cid") if turn == 0 else F.struct(F.xxhash64("cid", F.lit(turn)), "cid")
+            picked = F.max_by(F.struct("cid", "n", "component", *(f"s{k}" for k in range(SKETCH_WORDS))), order).alias("pivot")
+            pivots = rows.groupBy("key").agg(picked).select("key", "pivot.*")
+            left = _side(rows, "a", F.col("key").alias("ka"), F.col("component").alias("ca"))
+            right = _side(pivots, "b", F.col("key").alias("kb"), F.col("component").alias("cb"))
+            pairs = left.join(right, (F.col("ka") == F.col("kb")) & (F.col("ca") != F.col("cb")) & _close(ratio))
+        else:
+            left = _side(rows, "a", F.col("key").alias("ka"), F.col("component").alias("ca"))
+            right = _side(rows, "b", F.col("key").alias("kb"), F.col("component").alias("cb"))
+            pairs = left.join(right, (F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")) & _close(ratio))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            if turn < star_rounds:
+                continue
+            break
+        new = materialize(_verified(pairs, sets, ratio), "links")
+        links = new if links is None else links.unionByName(new)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        found = connected_components(links)
+        inside = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        apart = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        inside = inside.join(apart, "key", "left_semi")
+    return found if found is not None else members.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0)
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction | str = "4/5", star_rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``docs``.
 
     ``component_id`` is the smallest id that can be reached by links, the row's own included; two rows link when the
@@ -187,23 +233,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     met = met.where(F.col("key").isNotNull() | (F.col("least") < F.col("most")))
     met = materialize(met.select(F.coalesce("key", "bucket").alias("key"), "cid", F.coalesce("lead", "least").alias("lead")), "buckets")
 
-    stars = met.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = materialize(stars.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_close(ratio)).select("a", "b", "na", "nb"), "stars")
-    links = materialize(_verified(stars, classes, docs, words, ratio), "links")
-    found = connected_components(links)
-
-    inside = met.select("key", "cid").unionByName(met.select("key", F.col("lead").alias("cid"))).distinct()
-    inside = inside.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    split = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    inside = materialize(inside.join(split, "key", "left_semi").join(classes.drop("rep"), "cid"), "inside")
-    left = _side(inside, "a", F.col("key").alias("ka"), F.col("component").alias("ca"))
-    right = _side(inside, "b", F.col("key").alias("kb"), F.col("component").alias("cb"))
-    open_pairs = left.join(right, (F.col("ka") == F.col("kb")) & (F.col("ca") < F.col("cb")) & _close(ratio)).select("a", "b", "na", "nb").distinct()
-    tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    open_pairs = materialize(open_pairs.join(tried, ["a", "b"], "left_anti"), "open")
-    if not open_pairs.isEmpty():
-        links = links.unionByName(materialize(_verified(open_pairs, classes, docs, words, ratio), "links"))
-        found = connected_components(links)
+    members = materialize(met.select("key", "cid").unionByName(met.select("key", F.col("lead").alias("cid"))).distinct(), "members")
+    found = _links(members, classes, _whole_sets(members, classes, docs, words), ratio, star_rounds)
 
     grouped = classes.select("cid", "rep").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
