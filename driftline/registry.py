@@ -10,6 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.oracles import ORACLE
+from .plans.queries import QUERIES
+
 Query = Callable[[SparkSession, str], DataFrame]
 _shipped: set[str] = set()
 
@@ -41,8 +44,8 @@ def shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
