@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .scratch import materialize
+from ..operators.graph import connected_components
+from ..plans.scratch import materialize
 from .text import mix, salted, shingle_set, signed, texts
 
 SKETCH_WORDS = 4

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from ..plans.scratch import new_path
 
 ID = "urn:record:"
 _HEADER = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
