@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from driftline.llm.scratch import materialize
+from driftline.plans.scratch import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
