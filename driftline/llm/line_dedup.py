@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines.
 
 Every line is hashed. Runs of lines that occur elsewhere too are cut into chunks where a rolling hash over two neighbouring
-line hashes is 0 modulo ``stride``, where the two lines' global counts differ by a factor of two or more, and
+line hashes is 0 modulo ``stride`` (but never one line off an end of the run), where the two lines' global counts differ by a factor of two or more, and
 around long lines. All three depend on the two lines alone, so an inserted line moves no other boundary. Chunks whose hash
 occurs more than once are compared byte for byte with their first occurrence; equal ones are removed, the first stays.
 Only hashes and positions are shuffled until the chunks that repeat are known. DataFrame functions only.
@@ -23,12 +23,14 @@ def repeated_chunks(keyed: DataFrame, stride: int, long_line: int, least_chars:
     known = lines.join(counts, "h")
     document = Window.partitionBy("id", "k").orderBy("pos")
     before = lambda c: F.lag(c).over(document)
+    # No chunk of a single line at either end of a run.
+    inner = (F.lag("pos", 2).over(document) == F.col("pos") - 2) & (F.lead("pos").over(document) == F.col("pos") + 1)
     # Rows that repeat an id and a text have the same positions twice; they stay together.
     cut = (
         before("pos").isNull()
         | (F.col("pos") - before("pos") > 1)
         | ((F.col("pos") != before("pos")) & (
-            (F.pmod(F.xxhash64(before("h"), F.col("h")), F.lit(stride)) == 0)
+            ((F.pmod(F.xxhash64(before("h"), F.col("h")), F.lit(stride)) == 0) & inner)
             | (F.greatest("n", before("n")) >= 2 * F.least("n", before("n")))
             | (F.greatest("size", before("size")) >= long_line)
         ))

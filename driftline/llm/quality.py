@@ -73,9 +73,9 @@ def _counting(text_at: int):
 def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``, or all) plus ``_q_*`` counts of the text; null text counts as empty."""
     cols = keep if keep is not None else docs.columns
-    picked = docs.select(F.col(text_col).alias("_text"), *(F.col(c) for c in cols if c != "_text"))
+    picked = docs.select(F.col(text_col).alias("_q_text"), *(F.col(c) for c in cols))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema) + "".join(f", _q_{c} long" for c in COUNTS)
-    return picked.mapInArrow(_counting(0), schema).drop("_text")
+    return picked.mapInArrow(_counting(0), schema).drop("_q_text")
 
 
 def _measure(name: str) -> F.Column:
@@ -116,13 +116,13 @@ def thresholds(counted: DataFrame, lang_col: str = "lang", source_col: str = "so
 
 def judged(counted: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``counted`` plus ``base_failed`` and ``kept``; the limits are joined on language and source."""
-    limits = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
-    both = counted.join(limits, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    limits = limits.withColumnRenamed("lang", "_q_lang").withColumnRenamed("source", "_q_source")
+    both = counted.join(limits, F.col(lang_col).eqNullSafe(F.col("_q_lang")) & F.col(source_col).eqNullSafe(F.col("_q_source")), "left")
     good = F.lit(True)
     for m in MEASURES:
         good &= F.coalesce(_measure(m) <= F.col(f"hi_{m}"), F.lit(True)) & F.coalesce(_measure(m) >= F.col(f"lo_{m}"), F.lit(True))
     both = both.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & good)
-    return both.drop("_lang", "_source", *(f"{s}_{m}" for s in ("lo", "hi") for m in MEASURES))
+    return both.drop("_q_lang", "_q_source", *(f"{s}_{m}" for s in ("lo", "hi") for m in MEASURES))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 3.0, min_group: int = 50) -> DataFrame:

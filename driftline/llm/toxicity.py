@@ -112,7 +112,7 @@ def _rows_of(model: Model):
     return run
 
 
-def fit_weights(has: list[list[int]], toxic: list[int], other: list[list[list[int]]], n: int, fairness: float = 4.0, decay: float = 2e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_weights(has: list[list[int]], toxic: list[int], other: list[list[list[int]]], n: int, fairness: float = 4.0, decay: float = 5e-4, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on log loss + decay |w|^2 + fairness * mean squared score change of swaps."""
     x = np.zeros((len(has), n + 1), np.float32)
     x[:, n] = 1
@@ -127,12 +127,21 @@ def fit_weights(has: list[list[int]], toxic: list[int], other: list[list[list[in
     w, step = np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
     shrink = np.full(n + 1, decay, np.float32)
     shrink[n] = 0
+    # The step is the inverse of the largest curvature, found by power iteration.
+    v, bend = np.ones(n + 1, np.float32) / np.sqrt(n + 1), 1.0
+    for _ in range(20):
+        u = x.T @ (x @ v) / (4 * max(len(y), 1)) + shrink * v
+        if len(pairs):
+            u += fairness * 2 * change.T @ (change @ v) / max(len(y), 1)
+        bend = max(float(np.linalg.norm(u)), 1e-6)
+        v = u / bend
+    rate = 0.9 / bend
     for _ in range(rounds):
         ahead = w + 0.9 * step
         slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) / max(len(y), 1) + shrink * ahead
         if len(pairs):
             slope += fairness * 2 * change.T @ (change @ ahead) / max(len(y), 1)
-        step = 0.9 * step - 0.5 * slope
+        step = 0.9 * step - rate * slope
         w = w + step
     return w[:n], float(w[n])
 
