@@ -146,7 +146,7 @@ def fit_weights(has: list[list[int]], toxic: list[int], other: list[list[list[in
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_features: int = 1024) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_features: int = 2048) -> Model:
     """Fit on at most ``max_rows`` labelled documents, those with the smallest id hashes, none of them held out.
 
     The bound keeps the label table that is broadcast and the rows that reach the driver (feature positions, no text)
@@ -160,9 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_toxic or not n_clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((n_toxic + 0.5) / (n_clean + 0.5))))
     counts = rows.mapInArrow(_counting, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    odds = F.expr(f"ln((t + 0.5) / ({n_toxic} - t + 0.5)) - ln((c + 0.5) / ({n_clean} - c + 0.5))")
-    strength = F.abs(odds) / F.expr("sqrt(1 / (t + 0.5) + 1 / (c + 0.5))")
-    best = counts.where("t + c >= 4").withColumn("strength", strength).where("strength >= 3").orderBy(F.desc("strength"), "feature").limit(max_features).collect()
+    # The likelihood ratio of label and feature: unlike a z-score it ranks words that only toxic texts hold above common ones.
+    cell = lambda seen, row, column: f"coalesce(({seen}) * ln(({seen}) * {n_toxic + n_clean}D / (({row}) * ({column}))), 0)"
+    strength = F.expr(" + ".join((cell("t", "t + c", n_toxic), cell("c", "t + c", n_clean), cell(f"{n_toxic} - t", f"{n_toxic + n_clean} - t - c", n_toxic), cell(f"{n_clean} - c", f"{n_toxic + n_clean} - t - c", n_clean))))
+    best = counts.where("t + c >= 4").withColumn("strength", strength).where("strength >= 6").orderBy(F.desc("strength"), "feature").limit(max_features).collect()
     chosen = np.array([r["feature"] for r in best], np.int64).view(np.uint64)
     model = Model(chosen, np.zeros(len(chosen)), 0.0)
     data = rows.mapInArrow(_rows_of(model), "toxic long, has array<bigint>, other array<array<bigint>>").collect()
