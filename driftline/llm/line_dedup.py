@@ -19,7 +19,8 @@ def repeated_chunks(keyed: DataFrame, stride: int, long_line: int, least_chars:
     """(id, k, start, n_lines, chunk) for chunks whose hash occurs at least twice; ``chunk`` is that hash."""
     lines = keyed.select("id", "k", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(F.trim(x)).alias("size")))).alias("pos", "line"))
     lines = lines.select("id", "k", "pos", F.col("line.h").alias("h"), F.col("line.size").alias("size")).where("size > 0")
-    counts = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first: a join right above the aggregation would reuse its partitioning, and Spark could not split a very common line.
+    counts = materialize(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line_counts")
     known = lines.join(counts, "h")
     document = Window.partitionBy("id", "k").orderBy("pos")
     before = lambda c: F.lag(c).over(document)
