@@ -82,3 +82,13 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def freshness(df: DataFrame, ts: str, now: str, warn_days: int = 2, error_days: int = 7) -> DataFrame:
     age = F.datediff(F.lit(now).cast("date"), F.to_date(F.max(ts)))
     return df.agg(age.alias("age_days")).withColumn("status", F.when(F.col("age_days") > error_days, "error").when(F.col("age_days") > warn_days, "warn").otherwise("pass"))
+
+
+def years_present(df: DataFrame, ts: str) -> DataFrame:
+    return df.where(F.col(ts).isNotNull()).select(F.year(ts).alias("year")).distinct()
+
+
+def tile_totals(tiles: DataFrame, scope: DataFrame, rows: str = "n_zones") -> DataFrame:
+    """One row if the rows of all tiles do not add up to the scope's."""
+    both = tiles.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("in_tiles")).join(F.broadcast(scope.agg(F.count("*").alias("in_scope"))))
+    return both.where("in_tiles <> in_scope")

@@ -59,3 +59,18 @@ def circle(dim: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     from ..functions.scalars import within_km
 
     return dim.where(within_km("latitude", "longitude", lat, lon, km)).select("zone_id", F.round(haversine_km("latitude", "longitude", F.lit(lat), F.lit(lon)), 6).alias("km"))
+
+
+def impact_series(resolved: DataFrame, effects: DataFrame) -> DataFrame:
+    """Every day of each run window: net change on the board, next to it, and zones moving; 0 where nothing happened."""
+    days = resolved.select("flashpoint_id", F.explode(F.sequence("run_start", "run_end")).alias("activity_date"))
+    board = F.sum(F.when(F.col("on_the_board"), F.col("net_delta")))
+    beside = F.sum(F.when(~F.col("on_the_board"), F.col("net_delta")))
+    sums = effects.groupBy("flashpoint_id", "activity_date").agg(board.alias("board"), beside.alias("neighbors"), F.sum("zones_moving").alias("moving"))
+    return days.join(sums, ["flashpoint_id", "activity_date"], "left").na.fill(0, ["board", "neighbors", "moving"])
+
+
+def board_lists(resolved: DataFrame, members: DataFrame, index: DataFrame) -> DataFrame:
+    """The stable indices of each incident's board zones, ascending; an empty list where there are none."""
+    found = members.where("on_the_board").join(index, "zone_id").groupBy("flashpoint_id").agg(F.sort_array(F.collect_set("idx")).alias("board"))
+    return resolved.select("flashpoint_id").join(found, "flashpoint_id", "left").withColumn("board", F.coalesce("board", F.array().cast("array<bigint>")))

@@ -149,3 +149,21 @@ def simplify_paths(rings: DataFrame, tolerance: float = 0.01) -> DataFrame:
     out = rings.withColumn("ring", simplified("ring"))
     before = Window.partitionBy("name").orderBy("ring_no").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("start", F.coalesce(F.sum(F.size("ring")).over(before), F.lit(0)))
+
+
+def cluster_record(battles: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each day's clusters of two zones or more: members, regions and countries (sorted), launches, diameter.
+
+    A day holds a leaderboard's rows at most, so the lists are short.
+    """
+    ids = lambda c: F.array_join(F.transform(F.sort_array(F.collect_set(c)), lambda x: x.cast("string")), ",")
+    rows = members.join(battles.select("report_date", "zone_id", "launches", "region_id", "country_id"), ["report_date", "zone_id"])
+    found = rows.groupBy("report_date", "cluster").agg(ids("zone_id").alias("members"), ids("region_id").alias("regions"), ids("country_id").alias("countries"), F.sum("launches").alias("launches"))
+    return found.join(sizes.where("n_zones > 1"), ["report_date", "cluster"])
+
+
+def unplaced_reports(reports: DataFrame, dim: DataFrame) -> DataFrame:
+    """Per day, the reports of zones without a known place, which no cluster can hold."""
+    placed = dim.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("zone_id")
+    rows = reports.where("NOT is_tournament AND report_date IS NOT NULL").join(placed, "zone_id", "left_anti")
+    return rows.groupBy("report_date").agg(F.count("*").alias("n_missing"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,33 @@ def change_window(dense: DataFrame, days: int = 365) -> DataFrame:
 
 def net_over(daily: DataFrame, start: str, end: str) -> DataFrame:
     return daily.where(F.col("activity_date").between(start, end)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DELTAS))
+
+
+def sparse_series(dense: DataFrame, daily: DataFrame, start: str) -> DataFrame:
+    """Running totals of the days from ``start`` on which a total moved; what came before stays in the levels."""
+    moved = daily.where(" OR ".join(f"{c} <> 0" for c in DELTAS)).select("activity_date")
+    return dense.join(moved, "activity_date", "left_semi").where(F.col("activity_date") >= F.lit(start).cast("date")).select("activity_date", *COUNTS)
+
+
+def net_since(dense: DataFrame, start: str, day: str) -> DataFrame:
+    """The change of the whole total from ``start`` (the record's first day at least) to ``day``; no row where nothing lies between."""
+    until = dense.where(F.col("activity_date") <= F.lit(day).cast("date")).select("activity_date", sum(F.col(c) for c in COUNTS).alias("total"))
+    since = until.where(F.col("activity_date") >= F.lit(start).cast("date"))
+    ends = since.agg(F.min("activity_date").alias("first_day"), F.max("activity_date").alias("last_day"), (F.max_by("total", "activity_date") - F.min_by("total", "activity_date")).alias("net"))
+    return ends.where("last_day > first_day")
+
+
+def cell_in_bounds(west: float, south: float, east: float, north: float, cell: str = "cell"):
+    """Whether a 1-degree cell touches a box; the box may cross the antimeridian and spans 360 degrees at most."""
+    span = math.ceil(min(east - west, 360))
+    along = F.pmod(F.pmod(F.col(cell), F.lit(360)) - F.lit(math.floor(west) + 180), F.lit(360))
+    up = F.floor(F.col(cell) / 360) - 90
+    return (along <= span) & up.between(math.floor(south), math.ceil(north))
+
+
+def series_for_cells(cells: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Levels of all cells in ``box`` together, for every day of the record of all cells."""
+    daily = cells.where(cell_in_bounds(*box)).groupBy("activity_date").agg(*(F.sum(c).alias(c) for c in DELTAS))
+    running = Window.orderBy("activity_date").rowsBetween(Window.unboundedPreceding, 0)
+    full = calendar(cells).join(daily, "activity_date", "left").na.fill(0, list(DELTAS))
+    return full.select("activity_date", *(F.sum(f"{c}_delta").over(running).alias(c) for c in COUNTS))

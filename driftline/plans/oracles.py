@@ -158,6 +158,25 @@ ORACLE = {
     "export_manifest": _with("sp dim", """SELECT (SELECT count(*) FROM dim) AS n_zones, min(activity_date) AS first_day, max(activity_date) AS last_day, count(*) AS n_events, count(DISTINCT zone_id) AS n_ever_active,
         CAST(sum(legion_delta) AS BIGINT) AS legion, CAST(sum(swarm_delta) AS BIGINT) AS swarm, CAST(sum(faceless_delta) AS BIGINT) AS faceless, (SELECT count(*) FROM (SELECT arg_max(total, observed_at) AS t FROM sp GROUP BY zone_id) WHERE t > 0) AS n_held FROM sp"""),
     "name_blocks": _with("dim", """SELECT CAST(i // 64 AS INTEGER) AS block, CAST(to_json(list(coalesce(zone_name, '') ORDER BY i)) AS VARCHAR) AS names FROM (SELECT unnest(range(0, (SELECT max(zone_id) FROM dim WHERE zone_id % 5 <> 0) + 1)) AS i) LEFT JOIN dim ON zone_id = i AND zone_id % 5 <> 0 GROUP BY 1"""),
+    "sparse_series": _with("gd sp", "SELECT activity_date, legion, swarm, faceless FROM gd WHERE activity_date >= DATE '1995-07-01' AND activity_date IN (SELECT activity_date FROM sp GROUP BY 1 HAVING sum(legion_delta) <> 0 OR sum(swarm_delta) <> 0 OR sum(faceless_delta) <> 0)"),
+    "net_since": _with("gd", f"SELECT a.activity_date AS first_day, b.activity_date AS last_day, b.legion + b.swarm + b.faceless - a.legion - a.swarm - a.faceless AS net FROM gd a, gd b WHERE a.activity_date = {_S} AND b.activity_date = {_D}"),
+    "series_for_cells": _with("ev", """SELECT d.activity_date, CAST(sum(coalesce(l, 0)) OVER w AS BIGINT) AS legion, CAST(sum(coalesce(s, 0)) OVER w AS BIGINT) AS swarm, CAST(sum(coalesce(f, 0)) OVER w AS BIGINT) AS faceless
+        FROM (SELECT CAST(unnest(generate_series(min(activity_date), max(activity_date), INTERVAL 1 DAY)) AS DATE) AS activity_date FROM (SELECT activity_date FROM ev WHERE latitude IS NOT NULL GROUP BY floor(latitude), floor(longitude), activity_date HAVING sum(legion_delta) <> 0 OR sum(swarm_delta) <> 0 OR sum(faceless_delta) <> 0)) d
+        LEFT JOIN (SELECT activity_date, sum(legion_delta) AS l, sum(swarm_delta) AS s, sum(faceless_delta) AS f FROM ev WHERE floor(latitude) BETWEEN 50 AND 52 AND floor(longitude) BETWEEN 0 AND 2 GROUP BY 1) x USING (activity_date) WINDOW w AS (ORDER BY d.activity_date)"""),
+    "cluster_record": _with("cs cu ba", """SELECT report_date, cluster, members, regions, countries, launches, n_zones, diameter FROM cs JOIN (SELECT report_date, cluster, array_to_string(list_sort(list(DISTINCT zone_id)), ',') AS members, array_to_string(list_sort(list(DISTINCT region_id)), ',') AS regions,
+        array_to_string(list_sort(list(DISTINCT country_id)), ',') AS countries, CAST(sum(launches) AS BIGINT) AS launches FROM cu JOIN ba USING (report_date, zone_id) GROUP BY 1, 2) USING (report_date, cluster) WHERE n_zones > 1"""),
+    "unplaced_reports": _with("rep dim", "SELECT report_date, count(*) AS n_missing FROM rep WHERE NOT is_tournament AND zone_id NOT IN (SELECT zone_id FROM dim) GROUP BY 1"),
+    "impact_series": _with("fr fi", """SELECT d.flashpoint_id, d.activity_date, CAST(coalesce(sum(net_delta) FILTER (WHERE on_the_board), 0) AS BIGINT) AS board, CAST(coalesce(sum(net_delta) FILTER (WHERE NOT on_the_board), 0) AS BIGINT) AS neighbors, CAST(coalesce(sum(zones_moving), 0) AS BIGINT) AS moving
+        FROM (SELECT flashpoint_id, CAST(unnest(generate_series(run_start, run_end, INTERVAL 1 DAY)) AS DATE) AS activity_date FROM fr) d LEFT JOIN fi ON fi.flashpoint_id = d.flashpoint_id AND fi.activity_date = d.activity_date GROUP BY 1, 2"""),
+    "board_lists": _with("fr fz dim", "SELECT flashpoint_id, coalesce(b, '') AS board FROM fr LEFT JOIN (SELECT flashpoint_id, array_to_string(list_sort(list(idx)), ',') AS b FROM fz JOIN (SELECT zone_id, row_number() OVER (ORDER BY zone_id) - 1 AS idx FROM dim) USING (zone_id) WHERE on_the_board GROUP BY 1) USING (flashpoint_id)"),
+    "lookup_json": _with("dim", """SELECT '{"' || zone_id || '":["' || zone_name || '","' || region_id || '"]}' AS value FROM dim"""),
+    "lookup_roundtrip": _with("dim", "SELECT zone_id, zone_name, region_id FROM dim"),
+    "search_areas": _with("dim", "SELECT zone_id, zone_name AS label, region_name || ', ' || country_name AS detail FROM dim WHERE contains(lower(zone_name), '_3, e') OR contains(lower(region_name || ', ' || country_name), '_3, e') ORDER BY label, zone_id LIMIT 40"),
+    "period_activity": _with("sp", """SELECT label, greatest(s, lo) AS first_day, least(e, hi) AS last_day, CAST(sum(legion_delta) AS BIGINT) AS legion_delta, CAST(sum(swarm_delta) AS BIGINT) AS swarm_delta, CAST(sum(faceless_delta) AS BIGINT) AS faceless_delta, count(*) AS n_events
+        FROM (VALUES ('whole record', NULL::DATE, NULL::DATE), ('from 1997', DATE '1997-01-01', NULL), ('two years', DATE '1996-04-01', DATE '1998-03-31'), ('until 1996', NULL, DATE '1996-01-01')) p(label, s, e), (SELECT min(activity_date) AS lo, max(activity_date) AS hi FROM sp) x JOIN sp ON activity_date BETWEEN greatest(s, lo) AND least(e, hi) GROUP BY 1, 2, 3"""),
+    "years_present": _with("cl", "SELECT DISTINCT CAST(year(observed_at) AS INTEGER) AS year FROM cl"),
+    "check_freshness": _with("cl", "SELECT age_days, CASE WHEN age_days > 7 THEN 'error' WHEN age_days > 2 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT CAST(DATE '2001-08-05' - CAST(max(observed_at) AS DATE) AS INTEGER) AS age_days FROM cl)"),
+    "check_tile_totals": _with("dim", "SELECT a AS in_tiles, b AS in_scope FROM (SELECT count(latitude) AS a, count(*) AS b FROM dim) WHERE a <> b"),
     "check_unique_events": _with("cl", "SELECT zone_id, observed_at, count(*) AS n FROM cl GROUP BY 1, 2 HAVING count(*) > 1"),
     "check_orphans": _with("cl dim", "SELECT DISTINCT zone_id FROM cl WHERE zone_id NOT IN (SELECT zone_id FROM dim)"),
     "check_negative_totals": _with("gd cd", "SELECT activity_date, legion, swarm, faceless FROM gd WHERE least(legion, swarm, faceless) < 0 UNION ALL SELECT activity_date, legion, swarm, faceless FROM cd WHERE least(legion, swarm, faceless) < 0"),

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, flashpoints, geo, history, keys, reports, series, spine
+from ..functions.scalars import cell_of
+from ..operators import checks, flashpoints, geo, history, keys, lookups, reports, series, spine
 from ..sources import adapters as A
 from ..sources import pages as P
 
 DAY, START, PLACE = "1998-06-15", "1998-01-01", (51.0, 1.5, 25.0)
 BAD = ("1997-07-01", "1997-09-11")
+BOX = (0.4, 50.3, 1.6, 51.2)
+#: Label, first and last day; None is the record's own end.
+PERIODS = (("whole record", None, None), ("from 1997", "1997-01-01", None), ("two years", "1996-04-01", "1998-03-31"), ("until 1996", None, "1996-01-01"))
 
 
 class Model:
@@ -108,6 +112,35 @@ def _manifest(m: Model) -> DataFrame:
     return scope.join(F.broadcast(span)).join(F.broadcast(held))
 
 
+def _lookup(m: Model) -> DataFrame:
+    from .scratch import new_path
+
+    path = new_path(m.spark, "lookup")
+    lookups.lookup_json(m.dim, "zone_id", ["zone_name", "region_id"]).write.text(path)
+    return lookups.read_lookup_json(m.spark.read.text(path), "zone_id", {"zone_name": "string", "region_id": "int"})
+
+
+def _search(m: Model) -> DataFrame:
+    areas = m.dim.select("zone_id", F.col("zone_name").alias("label"), F.concat_ws(", ", "region_name", "country_name").alias("detail"))
+    return lookups.search_areas(areas, " _3, E")
+
+
+def _periods(m: Model) -> DataFrame:
+    named = m.spark.createDataFrame(PERIODS, "label string, start string, end string").select("label", F.col("start").cast("date"), F.col("end").cast("date"))
+    daily = series.daily_activity(m.spine)
+    return lookups.period_activity(lookups.period_bounds(named, daily), daily)
+
+
+def _boards(m: Model) -> DataFrame:
+    index = keys.stable_index(m.spark.createDataFrame([], "idx long, zone_id long"), m.dim.select("zone_id"))
+    found = flashpoints.board_lists(m.resolved, m.members, index)
+    return found.select("flashpoint_id", F.array_join(F.transform("board", lambda x: x.cast("string")), ",").alias("board"))
+
+
+def _tiles(m: Model) -> DataFrame:
+    return checks.tile_totals(m.dim.groupBy(cell_of("latitude", "longitude").alias("cell")).agg(F.count("*").alias("n_zones")), m.dim)
+
+
 def _q(build: Callable[[Model], DataFrame]):
     return lambda spark, sf_dir: build(Model(spark, sf_dir))
 
@@ -182,6 +215,20 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "name_blocks": _name_blocks,
     "delta_roundtrip": _delta,
     "export_manifest": _manifest,
+    "sparse_series": lambda m: series.sparse_series(series.global_daily(m.spine), series.daily_activity(m.spine), "1995-07-01"),
+    "net_since": lambda m: series.net_since(series.global_daily(m.spine), START, DAY),
+    "series_for_cells": lambda m: series.series_for_cells(series.area_series(m.events, "cell"), BOX),
+    "cluster_record": lambda m: geo.cluster_record(m.battles, m.clusters, m.cluster_sizes),
+    "unplaced_reports": lambda m: geo.unplaced_reports(m.reports, m.dim),
+    "impact_series": lambda m: flashpoints.impact_series(m.resolved, m.impact),
+    "board_lists": _boards,
+    "lookup_json": lambda m: lookups.lookup_json(m.dim, "zone_id", ["zone_name", "region_id"]),
+    "lookup_roundtrip": _lookup,
+    "search_areas": _search,
+    "period_activity": _periods,
+    "years_present": lambda m: checks.years_present(m.changelog, "observed_at"),
+    "check_freshness": lambda m: checks.freshness(m.changelog, "observed_at", "2001-08-05"),
+    "check_tile_totals": _tiles,
     "check_unique_events": lambda m: checks.unique(m.changelog, ["zone_id", "observed_at"]),
     "check_orphans": lambda m: checks.orphans(m.changelog, m.dim),
     "check_negative_totals": lambda m: checks.no_negative_totals(series.global_daily(m.spine), series.country_daily(m.events, m.countries).drop("country_id")),

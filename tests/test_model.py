@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
-from driftline.operators import checks, geo, history, keys, reports, series, spine
+from driftline.operators import checks, flashpoints, geo, history, keys, lookups, reports, series, spine
 from driftline.sources import contracts
 from driftline.streaming import ingest
 
@@ -181,3 +181,61 @@ def test_registry_pairs_names():
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
+
+
+def test_lookup_lines_come_back(spark):
+    table = spark.createDataFrame([(1, "a \"b\"", 7), (2, None, None), (None, "lost", 1)], "zone_id long, name string, country long")
+    lines = lookups.lookup_json(table, "zone_id", ["name", "country"])
+    back = lookups.read_lookup_json(lines, "zone_id", {"name": "string", "country": "long"})
+    assert {tuple(r) for r in back.collect()} == {(1, "a \"b\"", 7), (2, None, None)}
+    many = spark.createDataFrame([('{"3":["x","1"],"4":["y"]}',), ("no json",), (None,)], "value string")
+    assert {tuple(r) for r in lookups.read_lookup_json(many, "k", {"name": "string", "c": "int"}).collect()} == {(3, "x", 1), (4, "y", None)}
+
+
+def test_search_takes_the_first_in_order(spark):
+    areas = spark.createDataFrame([(k, f"Town {k:03}", "Kent" if k % 2 else None) for k in range(100)], "zone_id long, label string, detail string")
+    assert [r.zone_id for r in lookups.search_areas(areas, "  KENT ").collect()] == list(range(1, 80, 2))
+    assert lookups.search_areas(areas, "", n=5).count() == 5 and lookups.search_areas(areas, "town 099").count() == 1
+
+
+def test_periods_have_open_ends_and_a_length(spark):
+    day = dt.date.fromisoformat
+    record = spark.createDataFrame([(day("2000-01-01"),), (day("2000-12-31"),)], "activity_date date")
+    named = spark.createDataFrame([("all", None, None), ("late", day("2000-06-01"), None), ("before", None, day("1999-01-01"))], "label string, start date, end date")
+    got = {r.label: (r.first_day, r.last_day) for r in lookups.period_bounds(named, record).collect()}
+    assert got == {"all": (day("2000-01-01"), day("2000-12-31")), "late": (day("2000-06-01"), day("2000-12-31")), "before": (day("2000-01-01"), day("2000-01-02"))}
+    assert lookups.period_bounds(named, record.limit(0)).count() == 0
+
+
+def test_cells_in_a_box_over_the_antimeridian(spark):
+    cells = spark.createDataFrame([(140 * 360 + 359,), (140 * 360 + 0,), (140 * 360 + 180,), (10 * 360 + 0,), (None,)], "cell int")
+    got = [r.cell for r in cells.where(series.cell_in_bounds(179.2, 49.5, 180.7, 50.5)).collect()]
+    assert sorted(got) == [140 * 360, 140 * 360 + 359]
+    assert cells.where(series.cell_in_bounds(-180, -90, 180, 90)).count() == 4
+
+
+def test_sparse_series_and_net(changes):
+    events = spine.event_spine(changes)
+    dense, daily = series.global_daily(events), series.daily_activity(events)
+    rows = series.sparse_series(dense, daily, "2000-02-01").orderBy("activity_date").collect()
+    assert [(str(r.activity_date), r.legion, r.swarm, r.faceless) for r in rows] == [("2000-06-01", 0, 9, 3), ("2001-01-01", 0, 0, 3), ("2001-05-01", 0, 0, 10)]
+    assert series.net_since(dense, "1990-01-01", "2000-06-01").collect()[0].net == 7
+    assert series.net_since(dense, "2000-06-01", "2000-06-01").count() == 0
+
+
+def test_impact_series_and_boards(spark):
+    day = dt.date.fromisoformat
+    resolved = spark.createDataFrame([("a", day("2000-01-01"), day("2000-01-03")), ("b", day("2000-01-01"), day("2000-01-01"))], "flashpoint_id string, run_start date, run_end date")
+    effects = spark.createDataFrame([("a", day("2000-01-02"), True, 5, 2), ("a", day("2000-01-02"), False, -1, 1)], "flashpoint_id string, activity_date date, on_the_board boolean, net_delta long, zones_moving long")
+    got = {(r.flashpoint_id, str(r.activity_date)): (r.board, r.neighbors, r.moving) for r in flashpoints.impact_series(resolved, effects).collect()}
+    assert len(got) == 4 and got["a", "2000-01-02"] == (5, -1, 3) and got["b", "2000-01-01"] == (0, 0, 0)
+    members = spark.createDataFrame([("a", 9, True), ("a", 4, True), ("a", 5, False), ("b", 4, False)], "flashpoint_id string, zone_id long, on_the_board boolean")
+    index = spark.createDataFrame([(0, 9), (1, 5), (2, 4)], "idx long, zone_id long")
+    assert {r.flashpoint_id: r.board for r in flashpoints.board_lists(resolved, members, index).collect()} == {"a": [0, 2], "b": []}
+
+
+def test_tiles_must_add_up(spark):
+    scope = spark.range(5)
+    assert checks.tile_totals(spark.createDataFrame([(2,), (3,)], "n_zones long"), scope).count() == 0
+    assert checks.tile_totals(spark.createDataFrame([(2,)], "n_zones long"), scope).collect()[0].in_tiles == 2
+    assert checks.tile_totals(spark.createDataFrame([], "n_zones long"), scope).count() == 1
