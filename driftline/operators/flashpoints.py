@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_km
@@ -74,3 +74,8 @@ def board_lists(resolved: DataFrame, members: DataFrame, index: DataFrame) -> Da
     """The stable indices of each incident's board zones, ascending; an empty list where there are none."""
     found = members.where("on_the_board").join(index, "zone_id").groupBy("flashpoint_id").agg(F.sort_array(F.collect_set("idx")).alias("board"))
     return resolved.select("flashpoint_id").join(found, "flashpoint_id", "left").withColumn("board", F.coalesce("board", F.array().cast("array<bigint>")))
+
+
+def codes(resolved: DataFrame) -> DataFrame:
+    """(flashpoint_id, code): places from 0 in the order (run_start, id) of the curated list, which is small."""
+    return resolved.select("flashpoint_id", (F.row_number().over(Window.orderBy("run_start", "flashpoint_id")) - 1).alias("code"))

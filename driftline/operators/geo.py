@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import KM_PER_LAT, haversine_km
+from ..functions.scalars import KM_PER_LAT, haversine_km, tile_of
 from .graph import connected_components
 
 
@@ -167,3 +167,18 @@ def unplaced_reports(reports: DataFrame, dim: DataFrame) -> DataFrame:
     placed = dim.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("zone_id")
     rows = reports.where("NOT is_tournament AND report_date IS NOT NULL").join(placed, "zone_id", "left_anti")
     return rows.groupBy("report_date").agg(F.count("*").alias("n_missing"))
+
+
+def tile_manifest(zones: DataFrame, events: DataFrame) -> DataFrame:
+    """Per tile its zones, those with any event, and its south-west corner (16-degree tiles, 23 around)."""
+    active = events.select("zone_id").distinct().withColumn("played", F.lit(True))
+    rows = zones.select("zone_id", tile_of("latitude", "longitude").alias("tile")).where("tile IS NOT NULL").join(active, "zone_id", "left")
+    south, west = F.floor(F.col("tile") / 23) * 16 - 90, F.col("tile") % 23 * 16 - 180
+    sums = rows.groupBy("tile").agg(F.count("*").alias("n_zones"), F.count("played").alias("n_played"))
+    return sums.select("tile", "n_zones", "n_played", south.cast("int").alias("south"), west.cast("int").alias("west"))
+
+
+def area_extent(zones: DataFrame, area: str) -> DataFrame:
+    """The bounding box of each area's located zones; an area over the antimeridian gets the whole width."""
+    sides = (F.min("longitude").alias("west"), F.min("latitude").alias("south"), F.max("longitude").alias("east"), F.max("latitude").alias("north"))
+    return zones.where("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy(area).agg(*sides)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import faction_of, occupancy_class
+from ..functions.scalars import faction_of, occupancy_class, quantize
 from .spine import COUNTS
 
 
@@ -98,3 +98,10 @@ def paint(zones: DataFrame, events: DataFrame) -> DataFrame:
     both = zones.select("zone_id", "latitude", "longitude").join(current_state(events), "zone_id", "left")
     packed = pack_display(F.coalesce("control_state", F.lit(0)), *(F.coalesce(c, F.lit(0)) for c in COUNTS)).cast("int")
     return both.select("zone_id", F.col("observed_at").isNotNull().alias("ever_active"), packed.alias("packed"))
+
+
+def map_rows(zones: DataFrame, events: DataFrame) -> DataFrame:
+    """``paint`` with coordinates in fixed point: what a map draws; zones without a place are left out."""
+    placed = zones.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    places = placed.select("zone_id", quantize("latitude").alias("lat_e4"), quantize("longitude").alias("lon_e4"))
+    return places.join(paint(placed, events), "zone_id")

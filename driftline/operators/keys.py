@@ -50,7 +50,7 @@ def merge_events(spark: SparkSession, incoming: DataFrame, root: str, keys: list
         existing = incoming.limit(0)
     before = {r[0]: r[1] for r in existing.groupBy(partition).count().collect()}
     merged = materialize(last_wins(existing, incoming, keys), "merged")
-    (merged.repartition(partition).sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(root))
+    (merged.repartitionByRange(partition, *keys).sortWithinPartitions(partition, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(root))
     return {r[0]: r[1] - before.get(r[0], 0) for r in merged.groupBy(partition).count().collect()}
 
 
@@ -59,6 +59,11 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, key: str, ts: str) -
     return last_wins(existing, incoming, [key], [ts])
 
 
+def merge_reports(existing: DataFrame, incoming: DataFrame, key: str = "report_id") -> DataFrame:
+    """One row per key, the incoming before the existing one; columns that only one table has are null in rows of the other."""
+    return last_wins(existing, incoming, [key])
+
+
 def plan_days(events: DataFrame, today: str, ring: bool = True, day: str = "activity_date") -> DataFrame:
     """Days to fetch: from the newest event's day, included, to yesterday.
 

@@ -120,3 +120,19 @@ def smoothed_shares(shares: DataFrame, n: int = 30) -> DataFrame:
     rows = shares.select("report_date", *(F.avg(f"share_{k}").over(w).alias(f"m{k}") for k in (1, 2, 3)))
     total = F.col("m1") + F.col("m2") + F.col("m3")
     return rows.select("report_date", *(F.round(F.when(total > 0, F.col(f"m{k}") / total).otherwise(0.0), 6).alias(f"share_{k}") for k in (1, 2, 3)))
+
+
+def daily_top(df: DataFrame, day: str, metric: str, key: str, k: int = 10) -> DataFrame:
+    """The ``k`` rows of each day with the largest ``metric`` (ties: smallest key), and their ``place``."""
+    w = Window.partitionBy(day).orderBy(F.desc(metric), key)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def per_player(stats: DataFrame, col: str = "launches") -> DataFrame:
+    """``col`` a player; null without players."""
+    return stats.withColumn("per_player", F.round(F.try_divide(col, "players"), 6))
+
+
+def count_equal(df: DataFrame, col: str, value) -> DataFrame:
+    """How many rows have ``value`` in ``col``, of how many; nulls never do."""
+    return df.agg(F.count_if(F.col(col) == value).alias("n_equal"), F.count("*").alias("n"))

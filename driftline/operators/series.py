@@ -113,3 +113,11 @@ def series_for_cells(cells: DataFrame, box: tuple[float, float, float, float]) -
     running = Window.orderBy("activity_date").rowsBetween(Window.unboundedPreceding, 0)
     full = calendar(cells).join(daily, "activity_date", "left").na.fill(0, list(DELTAS))
     return full.select("activity_date", *(F.sum(f"{c}_delta").over(running).alias(c) for c in COUNTS))
+
+
+def densify_levels(levels: DataFrame, area: str, cols: tuple[str, ...] = COUNTS) -> DataFrame:
+    """Sparse levels of areas for every day of the common span: a level holds until the next one, 0 before the first."""
+    spine = levels.select(area).distinct().join(F.broadcast(calendar(levels)))
+    w = Window.partitionBy(area).orderBy("activity_date").rowsBetween(Window.unboundedPreceding, 0)
+    full = spine.join(levels, [area, "activity_date"], "left")
+    return full.select(area, "activity_date", *(F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)).alias(c) for c in cols))

@@ -174,6 +174,21 @@ ORACLE = {
     "search_areas": _with("dim", "SELECT zone_id, zone_name AS label, region_name || ', ' || country_name AS detail FROM dim WHERE contains(lower(zone_name), '_3, e') OR contains(lower(region_name || ', ' || country_name), '_3, e') ORDER BY label, zone_id LIMIT 40"),
     "period_activity": _with("sp", """SELECT label, greatest(s, lo) AS first_day, least(e, hi) AS last_day, CAST(sum(legion_delta) AS BIGINT) AS legion_delta, CAST(sum(swarm_delta) AS BIGINT) AS swarm_delta, CAST(sum(faceless_delta) AS BIGINT) AS faceless_delta, count(*) AS n_events
         FROM (VALUES ('whole record', NULL::DATE, NULL::DATE), ('from 1997', DATE '1997-01-01', NULL), ('two years', DATE '1996-04-01', DATE '1998-03-31'), ('until 1996', NULL, DATE '1996-01-01')) p(label, s, e), (SELECT min(activity_date) AS lo, max(activity_date) AS hi FROM sp) x JOIN sp ON activity_date BETWEEN greatest(s, lo) AND least(e, hi) GROUP BY 1, 2, 3"""),
+    "map_rows": _with("dd dim", """SELECT zone_id, CAST(round_even(latitude * 10000, 0) AS INTEGER) AS lat_e4, CAST(round_even(longitude * 10000, 0) AS INTEGER) AS lon_e4, packed IS NOT NULL AS ever_active, coalesce(packed, 0) AS packed
+        FROM dim LEFT JOIN (SELECT zone_id, arg_max(packed, activity_date) AS packed FROM dd GROUP BY 1) USING (zone_id) WHERE latitude IS NOT NULL AND longitude IS NOT NULL"""),
+    "tile_manifest": _with("cl dim", """SELECT CAST(r * 23 + c AS INTEGER) AS tile, count(*) AS n_zones, count(*) FILTER (WHERE zone_id IN (SELECT zone_id FROM cl)) AS n_played, CAST(r * 16 - 90 AS INTEGER) AS south, CAST(c * 16 - 180 AS INTEGER) AS west
+        FROM (SELECT zone_id, floor((latitude + 90) / 16) AS r, floor((longitude + 180) / 16) AS c FROM dim) GROUP BY r, c"""),
+    "area_extent": _with("dim", "SELECT country_id, min(longitude) AS west, min(latitude) AS south, max(longitude) AS east, max(latitude) AS north FROM dim GROUP BY 1"),
+    "daily_top": _with("ms", "SELECT report_date, CAST(row_number() OVER w AS INTEGER) AS place, zone_id, launches FROM ms WINDOW w AS (PARTITION BY report_date ORDER BY launches DESC, zone_id) QUALIFY row_number() OVER w <= 2"),
+    "per_player": _with("ms", "SELECT zone_id, report_date, round(launches / nullif(players, 0), 6) AS per_player FROM ms"),
+    "count_equal": _with("ms", "SELECT count(*) FILTER (WHERE launch_1 = 0) AS n_equal, count(*) AS n FROM ms"),
+    "merge_reports": _with("rep", "SELECT report_id, CASE WHEN report_id % 3 = 0 THEN launches END AS launches, CASE WHEN report_id % 3 >= 1 THEN players END AS players FROM rep"),
+    "densified_levels": _with("cd", """SELECT country_id, activity_date, legion, swarm, faceless FROM cd WHERE country_id IN (SELECT country_id FROM cd WHERE n_events > 0)
+        AND activity_date BETWEEN (SELECT min(activity_date) FROM cd WHERE n_events > 0) AND (SELECT max(activity_date) FROM cd WHERE n_events > 0)"""),
+    "flashpoint_codes": _with("fr", "SELECT flashpoint_id, CAST(row_number() OVER (ORDER BY run_start, flashpoint_id) - 1 AS INTEGER) AS code FROM fr"),
+    "warehouse_events": _with("sp", """SELECT zone_id, dense_rank() OVER (ORDER BY zone_id) - 1 AS idx, CAST(row_number() OVER (PARTITION BY zone_id ORDER BY observed_at) - 1 AS INTEGER) AS seq, observed_at, total FROM sp"""),
+    "warehouse_rows": _with("sp dim last ms", """SELECT 'zone' AS name, count(*) AS n FROM dim UNION ALL SELECT 'zone_event', count(*) FROM sp UNION ALL SELECT 'zone_day', count(*) FROM last UNION ALL SELECT 'maz', count(*) FROM ms
+        UNION ALL SELECT 'country', count(*) FROM region UNION ALL SELECT 'region', count(*) FROM nation"""),
     "years_present": _with("cl", "SELECT DISTINCT CAST(year(observed_at) AS INTEGER) AS year FROM cl"),
     "check_freshness": _with("cl", "SELECT age_days, CASE WHEN age_days > 7 THEN 'error' WHEN age_days > 2 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT CAST(DATE '2001-08-05' - CAST(max(observed_at) AS DATE) AS INTEGER) AS age_days FROM cl)"),
     "check_tile_totals": _with("dim", "SELECT a AS in_tiles, b AS in_scope FROM (SELECT count(latitude) AS a, count(*) AS b FROM dim) WHERE a <> b"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +138,32 @@ def _boards(m: Model) -> DataFrame:
     return found.select("flashpoint_id", F.array_join(F.transform("board", lambda x: x.cast("string")), ",").alias("board"))
 
 
+def _merge_reports(m: Model) -> DataFrame:
+    rows = m.reports.select("report_id", "launches", "players")
+    merged = keys.merge_reports(rows.where("report_id % 3 < 2").drop("players"), rows.where("report_id % 3 >= 1").drop("launches"))
+    return merged.select("report_id", "launches", "players")
+
+
+def _levels(m: Model) -> DataFrame:
+    days = series.country_daily(m.events, m.countries).where("n_events > 0")
+    return series.densify_levels(days.select("country_id", "activity_date", *spine.COUNTS), "country_id")
+
+
+def _warehouse(m: Model) -> dict[str, DataFrame]:
+    from . import warehouse
+    from .scratch import new_path
+
+    root = new_path(m.spark, "warehouse")
+    index = keys.stable_index(m.spark.createDataFrame([], "idx long, zone_id long"), m.changelog.select("zone_id"))
+    warehouse.write_warehouse(root, m.dim, m.spine, index, spine.zone_day(m.spine), m.stats, m.countries, A.regions(m.spark, m.sf_dir))
+    return warehouse.rebuild_warehouse(m.spark, root)
+
+
+def _warehouse_rows(m: Model) -> DataFrame:
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in _warehouse(m).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _tiles(m: Model) -> DataFrame:
     return checks.tile_totals(m.dim.groupBy(cell_of("latitude", "longitude").alias("cell")).agg(F.count("*").alias("n_zones")), m.dim)
 
@@ -240,6 +267,17 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "check_same_keys": lambda m: checks.same_keys(reports.maz(m.battles), m.stats, ["zone_id", "report_date"]),
     "check_relationship": lambda m: checks.relationship(m.changelog, "zone_id", m.dim, "warn"),
     "check_not_null": lambda m: checks.not_null(m.events, ["zone_id", "observed_at", "country_id"]),
+    "map_rows": lambda m: history.map_rows(m.dim, m.spine),
+    "tile_manifest": lambda m: geo.tile_manifest(m.dim, m.spine),
+    "area_extent": lambda m: geo.area_extent(m.dim, "country_id"),
+    "daily_top": lambda m: reports.daily_top(m.stats, "report_date", "launches", "zone_id", 2).select("report_date", "place", "zone_id", "launches"),
+    "per_player": lambda m: reports.per_player(m.stats).select("zone_id", "report_date", "per_player"),
+    "count_equal": lambda m: reports.count_equal(m.stats, "launch_1", 0),
+    "merge_reports": _merge_reports,
+    "densified_levels": _levels,
+    "flashpoint_codes": lambda m: flashpoints.codes(m.resolved),
+    "warehouse_events": lambda m: _warehouse(m)["zone_event"].select("zone_id", "idx", "seq", "observed_at", "total"),
+    "warehouse_rows": _warehouse_rows,
     "check_widths": lambda m: checks.fits(m.stats, {"launches": "uint8", "players": "uint8", "launch_1": "int16"}),
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reports import daily_top
 
 #: Curated incidents (id, label, anchor zone, board window, run window, radius in km).
 FLASHPOINTS = (
@@ -65,14 +66,11 @@ def flashpoints(spark: SparkSession) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     """Leaderboard reports: orders with their lines split by return flag, the top ``k`` of each day."""
-    from pyspark.sql import Window
-
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0)).cast("long").alias(n) for f, n in (("A", "launch_1"), ("N", "launch_2"), ("R", "launch_3"))))
     both = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill(0, ["launch_1", "launch_2", "launch_3"])
     zone = F.when(F.col("o_custkey") % 31 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
     rows = both.select(F.col("o_orderkey").alias("report_id"), zone.alias("zone_id"), F.to_date("o_orderdate").alias("report_date"), "launch_1", "launch_2", "launch_3", (F.col("launch_1") + F.col("launch_2") + F.col("launch_3")).alias("launches"), (F.col("o_orderkey") % 7 + 1).alias("players"))
-    day = Window.partitionBy("report_date").orderBy(F.desc("launches"), "report_id")
-    return rows.withColumn("place", F.row_number().over(day)).where(F.col("place") <= k).drop("place").withColumn("is_tournament", F.col("zone_id") < 0)
+    return daily_top(rows, "report_date", "launches", "report_id", k).drop("place").withColumn("is_tournament", F.col("zone_id") < 0)
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,11 +38,26 @@ def parse_stamps(df: DataFrame, required: str, optional: tuple[str, ...] = ()) -
     return df.withColumns({c: parsed(c) for c in (required, *optional)})
 
 
-def read_changelog_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Daily drops as change rows: rows without an event time are left out, one row per key."""
+def _drops(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     text = T.StructType([T.StructField(c, T.StringType()) for c in NAMES])
     raw = spark.read.csv(paths, header=True, schema=text).withColumnsRenamed(NAMES)
-    rows = conform(parse_stamps(raw, "observed_at", ("captured_at",)), CHANGELOG).where("observed_at IS NOT NULL")
+    return conform(parse_stamps(raw, "observed_at", ("captured_at",)), CHANGELOG)
+
+
+def read_zone_state_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Daily drops as states: rows without an event time stay (such a zone was never touched), totals are summed here."""
+    return _drops(spark, paths).withColumn("total", F.col("legion") + F.col("swarm") + F.col("faceless"))
+
+
+def ingest_lookups(spark: SparkSession, src: str, dst: str, contract: T.StructType) -> DataFrame:
+    """A lookup's CSV, conformed and written as Parquet; returns the written table."""
+    conform(spark.read.csv(src, header=True), contract).write.mode("overwrite").parquet(dst)
+    return spark.read.schema(contract).parquet(dst)
+
+
+def read_changelog_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Daily drops as change rows: rows without an event time are left out, one row per key."""
+    rows = _drops(spark, paths).where("observed_at IS NOT NULL")
     return rows.groupBy("zone_id", "observed_at").agg(F.max(F.struct("captured_at", "control_state", "legion", "swarm", "faceless")).alias("r")).select("zone_id", "observed_at", "r.*")
 
 
@@ -60,5 +75,8 @@ def check_no_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def write_sharded(df: DataFrame, root: str, shard: str, order: list[str]) -> None:
-    """One folder per shard, rows in a total order inside: one pass, not one scan per shard."""
-    df.repartition(shard).sortWithinPartitions(shard, *order).write.mode("overwrite").partitionBy(shard).parquet(root)
+    """One folder per shard, rows in order inside each file: one pass, not one scan per shard.
+
+    Rows are dealt out by ranges of (shard, order), so that a shard with a third of all rows is several files of several tasks.
+    """
+    df.repartitionByRange(shard, *order).sortWithinPartitions(shard, *order).write.mode("overwrite").partitionBy(shard).parquet(root)

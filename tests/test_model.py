@@ -239,3 +239,45 @@ def test_tiles_must_add_up(spark):
     assert checks.tile_totals(spark.createDataFrame([(2,), (3,)], "n_zones long"), scope).count() == 0
     assert checks.tile_totals(spark.createDataFrame([(2,)], "n_zones long"), scope).collect()[0].in_tiles == 2
     assert checks.tile_totals(spark.createDataFrame([], "n_zones long"), scope).count() == 1
+
+
+def test_warehouse_comes_back(spark, changes, tmp_path):
+    from driftline.plans import warehouse
+
+    zones = spark.createDataFrame([(1, 51.0, 1.0), (2, None, None), (3, -89.0, 179.0)], "zone_id long, latitude double, longitude double")
+    stats = spark.createDataFrame([(1, dt.date(2000, 1, 3), 4)], "zone_id long, report_date date, launches long")
+    label = spark.createDataFrame([(1, "x")], "id int, name string")
+    index = spark.createDataFrame([(0, 1), (5000, 2), (5001, 3)], "idx long, zone_id long")
+    built = spine.event_spine(changes)
+    for _ in range(2):  # written again over itself
+        warehouse.write_warehouse(str(tmp_path / "w"), zones, built, index, spine.zone_day(built), stats, label, label)
+    back = warehouse.rebuild_warehouse(spark, str(tmp_path / "w"))
+    key = lambda r: str(sorted(r.asDict().items(), key=str))
+    same = lambda a, b: sorted(map(key, a.collect())) == sorted(map(key, b.select(a.columns).collect()))
+    assert same(zones, back["zone"]) and same(stats, back["maz"]) and same(label, back["country"]) and same(built, back["zone_event"])
+    assert [(r.zone_id, r.seq) for r in back["zone_event"].orderBy("zone_id", "observed_at").collect()] == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (3, 0)]
+    assert sorted(p.name for p in (tmp_path / "w" / "zone_event").glob("block=*")) == ["block=0", "block=1"]
+    assert set(back["zone_day"].columns) == set(spine.zone_day(built).columns)
+
+
+def test_state_drops_and_lookups(spark, tmp_path):
+    head = ",".join(contracts.NAMES)
+    (tmp_path / "a.csv").write_text(f"{head}\n1,2000-01-01 10:00:00.9,,1,5,2,1\n2,,,0,0,0,0\n")
+    assert {(r.zone_id, r.total) for r in contracts.read_zone_state_csv(spark, str(tmp_path / "a.csv")).collect()} == {(1, 8), (2, 0)}
+    (tmp_path / "c.csv").write_text("name,id\nx,7\n")
+    kind = contracts.T.StructType([contracts.T.StructField("id", contracts.T.IntegerType()), contracts.T.StructField("name", contracts.T.StringType())])
+    assert [tuple(r) for r in contracts.ingest_lookups(spark, str(tmp_path / "c.csv"), str(tmp_path / "c"), kind).collect()] == [(7, "x")]
+
+
+def test_tops_levels_and_extents(spark, changes):
+    stats = spark.createDataFrame([(1, 1, 5, 2), (1, 2, 5, 0), (1, 3, 9, 4), (2, 1, None, 1)], "day int, zone_id long, launches long, players int")
+    assert {(r.day, r.place, r.zone_id) for r in reports.daily_top(stats, "day", "launches", "zone_id", 2).collect()} == {(1, 1, 3), (1, 2, 1), (2, 1, 1)}
+    assert [r.per_player for r in reports.per_player(stats).orderBy("day", "zone_id").collect()] == [2.5, None, 2.25, None]
+    assert tuple(reports.count_equal(stats, "launches", 5).collect()[0]) == (2, 4)
+    levels = spark.createDataFrame([(1, dt.date(2000, 1, 1), 3), (1, dt.date(2000, 1, 3), 0), (2, dt.date(2000, 1, 2), 7)], "area int, activity_date date, legion int")
+    dense = series.densify_levels(levels, "area", ("legion",)).orderBy("area", "activity_date").collect()
+    assert [r.legion for r in dense] == [3, 3, 0, 0, 7, 7]
+    zones = spark.createDataFrame([(1, 9, 51.0, 1.0), (2, 9, None, None), (3, 9, -89.0, 179.0)], "zone_id long, c int, latitude double, longitude double")
+    assert [tuple(r) for r in geo.area_extent(zones, "c").collect()] == [(9, 1.0, -89.0, 179.0, 51.0)]
+    assert {(r.n_zones, r.n_played, r.south, r.west) for r in geo.tile_manifest(zones, changes).collect()} == {(1, 1, 38, -4), (1, 1, -90, 172)}
+    assert {(r.zone_id, r.lat_e4, r.lon_e4, r.ever_active) for r in history.map_rows(zones, spine.event_spine(changes)).collect()} == {(1, 510000, 10000, True), (3, -890000, 1790000, True)}
