@@ -193,6 +193,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    rng = random.Random(14)
+    line = lambda n=12: _text(rng, n)
+    own = [line() for _ in range(40)]
+    first, second, third = ([line() for _ in range(3)] for _ in range(3))
+    common, few, wide, tail = line(), [line(), line()], [line(60), line(30), line(60)], [line(14), "a", "b", "c"]
+    texts = [
+        "\n\n".join([own[0], *first]), "\n\n".join([own[1], *first, own[2]]), "\n".join([own[3], *first]),  # blank lines between
+        "\n".join([few[0], common, few[1]]), *["\n".join([own[k], common, own[k + 1]]) for k in range(4, 24, 2)], "\n".join([own[24], few[0], common, few[1]]),  # counts 2, 12, 2
+        "\n".join([own[25], *wide]), "\n".join([*wide, own[26]]),  # a line between long ones
+        "\n".join(second), "\n".join(third), "\n".join([own[27], *second, *third, own[28]]),  # two passages side by side
+        "\n".join([own[29], *tail]), "\n".join([*tail, own[30]]),  # short lines at the end of a passage
+        "\n".join([own[31]] * 4),  # does not overlap its first occurrence
+    ]
+    want = [texts[0], "\n\n\n".join(own[1:3]), own[3], *texts[3:14], own[24], texts[15], own[26], texts[17], texts[18], "\n".join(own[27:29]), texts[20], own[30], "\n".join([own[31]] * 2)]
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(_docs(spark, texts), drop_emptied=False).collect()}
+    assert [rows[k].text for k in range(len(texts))] == want
+    assert all(rows[k]._n_removed_lines == len(texts[k].split("\n")) - len(want[k].split("\n")) for k in rows)
+
+
 def test_quality_counts_equal_brute_force(spark):
     rng = random.Random(6)
     texts = [*ODD, "a b c a b c a b c\n\n a b\na b\n", "x#y <ü|é> 100%", *[_text(rng, 80) + "\n" + _text(rng, 5) for _ in range(20)], ("spam " * 70).strip()]
