@@ -2,7 +2,8 @@
 
 Each source has a mean repetition rate: target share * total documents / documents of the source. A document's count
 is the Poisson quantile, at that rate, of a uniform number hashed from seed and id: the same on every run, and without
-a draw that depends on other rows. Documents are exploded by their count and shuffled by the hash of (seed, id, copy).
+a draw that depends on other rows. A rate above ``MOST`` is split evenly over several draws, whose sum has the same
+distribution. Documents are exploded by their count and shuffled by the hash of (seed, id, copy).
 DataFrame functions only.
 """
 
@@ -11,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: exp(-rate) is a normal number up to here; higher rates are split into parts of at most ``PART``.
+MOST, PART = 700, 500
+
 
 def uniform(seed: int, *parts) -> F.Column:
     """A number in [0, 1) from the first 52 bits of an md5 of the seed and the parts."""
@@ -19,7 +23,8 @@ def uniform(seed: int, *parts) -> F.Column:
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, total: int | None = None) -> DataFrame:
-    """(source, rate, cdf): the mean count of each source and the Poisson distribution function at 0, 1, 2, ...
+    """(source, rate, parts, cdf): the mean count of each source, the number of draws that it is split into and the
+    Poisson distribution function of one draw at 0, 1, 2, ...
 
     Without ``weights`` all sources share alike; with them, sources left out get 0. ``total`` defaults to the number of documents.
     The distribution ends where what is left is under 1e-15.
@@ -36,27 +41,32 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
             share = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(weight / scale)).otherwise(share)
     rate = share * (F.lit(float(total)) if total is not None else F.col("n_all").cast("double")) / F.col("n")
     both = both.select("source", rate.alias("rate"))
-    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    both = both.withColumn("parts", F.when(F.col("rate") > MOST, F.ceil(F.col("rate") / PART)).otherwise(1).cast("int"))
+    both = both.withColumn("each", F.col("rate") / F.col("parts"))
+    top = F.ceil(F.col("each") + 12 * F.sqrt("each") + 20).cast("int")
+    start = F.struct(F.exp(-F.col("each")).alias("p"), F.exp(-F.col("each")).alias("sum"), F.array(F.exp(-F.col("each"))).alias("cdf"))
 
     def add(acc, k):
-        p = acc["p"] * F.col("rate") / k
+        p = acc["p"] * F.col("each") / k
         return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + p)).alias("cdf"))
 
-    return both.select("source", "rate", F.aggregate(F.sequence(F.lit(1), top), start, add)["cdf"].alias("cdf"))
+    return both.select("source", "rate", "parts", F.aggregate(F.sequence(F.lit(1), top), start, add)["cdf"].alias("cdf"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, total: int | None = None, seed: int = 17) -> DataFrame:
     """``docs``, each row as often as its count says, with ``_copy`` (from 0) and ``_order``, globally shuffled.
 
-    Rows of equal ids have equal counts. Null sources are one source, null ids count as empty text. Rates above some
-    700, at which exp(-rate) is no longer a normal number, are an error.
+    Rows of equal ids have equal counts. Null sources are one source, null ids count as empty text. Every rate works.
     """
     table = rates(docs, source_col, weights, total)
-    table = table.select(F.col("source").alias("_source"), F.when(F.col("rate") > 700, F.raise_error(F.lit("a source's mean repetition is over 700"))).otherwise(F.col("cdf")).alias("_cdf"))
+    table = table.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    drawn = drawn.withColumn("_u", uniform(seed, F.col(id_col))).withColumn("_n", count).where("_n > 0")
+    count = lambda u: F.size(F.filter("_cdf", lambda c: c <= u))
+    # All draws but the first have their own text to hash.
+    others = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: uniform(seed, F.lit("draw"), k, F.col(id_col)))
+    drawn = drawn.withColumn("_u", uniform(seed, F.col(id_col))).withColumn("_more", F.when(F.col("_parts") > 1, others))
+    more = F.when(F.col("_more").isNotNull(), F.aggregate("_more", F.lit(0), lambda n, u: n + count(u))).otherwise(0)
+    drawn = drawn.withColumn("_n", count(F.col("_u")) + more).where("_n > 0")
     copies = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     copies = copies.withColumn("_order", uniform(seed + 1, F.col(id_col), F.col("_copy")))
     return copies.repartition("_order", "_copy").sortWithinPartitions("_order", id_col, "_copy")
