@@ -22,9 +22,14 @@ from ..plans.scratch import materialize
 from .text import IS_ALNUM, LOWER, mix, salted, signed, span_hashes, spans, texts, windows
 
 WIDTHS = (8, 11, 15, 21, 29, 40, 56, 78, 109, 152, 213, 298)
+#: On by 7/5 to 62 bands, as many as a mask of a signed 64-bit number holds: the last starts at over 5 * 10^9 words.
+while len(WIDTHS) < 62:
+    WIDTHS += (WIDTHS[-1] * 7 // 5,)
 Q = 4
 TABLE_BITS = 20
 SAMPLES = 3
+#: Most words of windows or pairs that are worked on, or sent on, at once.
+MOST_WORDS = 1 << 21
 PAD = np.uint64(0x5BD1E995)
 
 
@@ -35,12 +40,11 @@ def tokens(data: np.ndarray) -> np.ndarray:
 
 def band_of(n: int) -> int:
     """The band of an item of ``n`` words; -1 if it is too short."""
-    return sum(w <= n for w in WIDTHS) - 1
+    return sum(w <= n for w in WIDTHS[:-1]) - 1
 
 
 def most_edits(band: int, rate: float) -> int:
-    top = WIDTHS[band + 1] - 1 if band + 1 < len(WIDTHS) else 2 * WIDTHS[band]
-    return int(rate * top)
+    return int(rate * (WIDTHS[band + 1] - 1))
 
 
 def cgk_keys(rows: np.ndarray, band: int, repetitions: int) -> np.ndarray:
@@ -82,9 +86,16 @@ def _item_rows(repetitions: int, rate: float):
 
 
 def _window_rows(table: np.ndarray, bands: list[int], repetitions: int, rate: float):
+    names = ("at", "row", "band", "start", "doc_tokens", "keys")
+
+    def packed(ids, out):
+        lists = [pa.array(out[c], pa.list_(pa.int64())) for c in ("doc_tokens", "keys")]
+        longs = [pa.array(out[c], pa.int64()) for c in ("row", "band", "start")]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(out["at"], pa.int64())), *longs, *lists], names=["id", "row", "band", "start", "doc_tokens", "keys"])
+
     def run(batches):
         for batch in batches:
-            ids, out = batch.column(0), {k: [] for k in ("at", "row", "band", "start", "doc_tokens", "keys")}
+            ids, out, held = batch.column(0), {k: [] for k in names}, 0
             for k, data in enumerate(texts(batch.column(1))):
                 t = tokens(data)
                 hits = table[(windows(t, Q) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
@@ -92,7 +103,7 @@ def _window_rows(table: np.ndarray, bands: list[int], repetitions: int, rate: fl
                     continue
                 row = int(salted(windows(t, 1), 5).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0
                 for band in bands:
-                    own = (hits >> np.uint16(band)) & np.uint16(1)
+                    own = (hits >> hits.dtype.type(band)) & hits.dtype.type(1)
                     if not own.any():
                         continue
                     width, edits = WIDTHS[band], most_edits(band, rate)
@@ -104,14 +115,18 @@ def _window_rows(table: np.ndarray, bands: list[int], repetitions: int, rate: fl
                     if not len(starts):
                         continue
                     padded = np.r_[t, np.full(width, PAD)]
-                    keys = signed(cgk_keys(padded[starts[:, None] + np.arange(width)[None, :]], band, repetitions))
-                    reach = (WIDTHS[band + 1] if band + 1 < len(WIDTHS) else 4 * width) + edits
-                    for s, key in zip(starts.tolist(), keys):
-                        for name, value in (("at", k), ("row", row), ("band", band), ("start", s), ("doc_tokens", signed(t[max(0, s - edits) : s + reach])), ("keys", key)):
-                            out[name].append(value)
-            lists = [pa.array(out[c], pa.list_(pa.int64())) for c in ("doc_tokens", "keys")]
-            longs = [pa.array(out[c], pa.int64()) for c in ("row", "band", "start")]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out["at"], pa.int64())), *longs, *lists], names=["id", "row", "band", "start", "doc_tokens", "keys"])
+                    reach = WIDTHS[band + 1] + edits
+                    at_once = max(1, MOST_WORDS // (reach + edits))
+                    for part in (starts[lo : lo + at_once] for lo in range(0, len(starts), at_once)):
+                        keys = signed(cgk_keys(padded[part[:, None] + np.arange(width)[None, :]], band, repetitions))
+                        for s, key in zip(part.tolist(), keys):
+                            for name, value in zip(names, (k, row, band, s, signed(t[max(0, s - edits) : s + reach]), key)):
+                                out[name].append(value)
+                        held += len(part) * (reach + edits)
+                        if held >= MOST_WORDS:
+                            yield packed(ids, out)
+                            out, held = {c: [] for c in names}, 0
+            yield packed(ids, out)
 
     return run
 
@@ -141,8 +156,9 @@ def _verify(batches):
     for batch in batches:
         docs, items = ([np.array(x, np.int64) for x in batch.column(k).to_pylist()] for k in (2, 3))
         out = np.zeros(len(docs), np.int64)
-        for lo in range(0, len(docs), 2000):
-            out[lo : lo + 2000] = edit_distances(docs[lo : lo + 2000], items[lo : lo + 2000])
+        at_once = max(1, min(2000, MOST_WORDS // max(map(len, docs), default=1)))
+        for lo in range(0, len(docs), at_once):
+            out[lo : lo + at_once] = edit_distances(docs[lo : lo + at_once], items[lo : lo + at_once])
         near = pa.array(out <= np.array(batch.column(4).to_pylist(), np.int64)) if len(docs) else pa.array([], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), pa.array(out)], names=["id", "item", "start", "distance"]).filter(near)
 
@@ -160,11 +176,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         _item_rows(repetitions, rate), f"item {item_type}, band long, allowed long, item_tokens array<bigint>, keys array<bigint>, grams array<bigint>"
     )
     items = materialize(items, "items")
-    table, bands = np.zeros(1 << TABLE_BITS, np.uint16), set()
+    slots, masks, bands = [], [], set()
     # At most 2^20 slots come back, whatever the benchmark's size.
-    for r in items.select(F.explode("grams").alias("slot"), "band").groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1, cast(band as int))")).alias("mask")).toLocalIterator():
-        table[r["slot"]] = r["mask"]
+    for r in items.select(F.explode("grams").alias("slot"), "band").groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, cast(band as int))")).alias("mask")).toLocalIterator():
+        slots.append(r["slot"])
+        masks.append(r["mask"])
         bands |= {b for b in range(len(WIDTHS)) if r["mask"] >> b & 1}
+    # As narrow as the longest item allows.
+    table = np.zeros(1 << TABLE_BITS, np.uint16 if max(bands, default=0) < 16 else np.uint64)
+    table[np.array(slots, np.int64)] = np.array(masks, table.dtype)
     sent = spark.sparkContext.broadcast(table)
 
     def rows(batches, bands=sorted(bands)):

@@ -276,6 +276,20 @@ def test_decontamination_recall(spark):
     assert decontaminate.find_leaks(_docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(18)
+    wide = [a + b for a in VOCAB for b in VOCAB]
+    text = lambda n: " ".join(rng.choice(wide) for _ in range(n))
+    items = [text(700), text(2000)]
+    edited = items[0].split()
+    for at in rng.sample(range(700), 65):
+        edited[at] = "other"
+    texts = [text(50) + " " + items[0] + " " + text(50), text(50) + " " + items[1] + " " + text(50), text(20) + " " + " ".join(edited) + " " + text(20), text(2500)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(_docs(spark, texts), bench).collect()}
+    assert found == {(0, 0): 0, (1, 1): 0, (2, 0): 65}
+
+
 def test_edit_distance_equals_brute_force():
     rng = random.Random(9)
 
