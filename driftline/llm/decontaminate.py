@@ -9,6 +9,7 @@ Symbols are words (letters and digits, lower-cased). Items are put into bands of
 first ``width`` words, the documents by every window of that width. Before embedding, windows that share too few word
 4-grams with the band's items to be within the allowed distance of any are left out (the q-gram lemma); the 4-grams
 are kept in one table of fixed size, so that it can be sent to all tasks whatever the benchmark's size.
+Items too short for the first band allow no edits; all windows of as many words meet them by their hash (band ``-n``).
 """
 
 from __future__ import annotations
@@ -39,14 +40,23 @@ def tokens(data: np.ndarray) -> np.ndarray:
 
 
 def band_of(n: int) -> int:
-    """The band of an item of ``n`` words; -1 if it is too short."""
-    return sum(w <= n for w in WIDTHS[:-1]) - 1
+    """The band of an item of ``n`` words; ``-n`` if it is too short for the first."""
+    return -n if n < WIDTHS[0] else sum(w <= n for w in WIDTHS[:-1]) - 1
 
 
 def most_edits(band: int, rate: float) -> int:
     return int(rate * (WIDTHS[band + 1] - 1))
 
 
+def run_keys(t: np.ndarray, n: int) -> np.ndarray:
+    """A key of every ``n`` consecutive words."""
+    return salted(windows(t, n), 3000 + n)
+
+
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
 def cgk_keys(rows: np.ndarray, band: int, repetitions: int) -> np.ndarray:
     """``repetitions`` keys for each row (a window's word hashes, padded by PAD)."""
     n, width = rows.shape
@@ -74,18 +84,21 @@ def _item_rows(repetitions: int, rate: float):
             for item, data in zip(batch.column(0), texts(batch.column(1))):
                 t = tokens(data)
                 band = band_of(len(t))
-                if band >= 0:
+                if band < 0:
+                    key = run_keys(t, len(t))
+                    out.append({"item": item.as_py(), "band": band, "allowed": 0, "item_tokens": signed(t).tolist(), "keys": signed(key).tolist(), "grams": slots_of(key).tolist()})
+                elif len(t):
                     w = WIDTHS[band]
                     out.append({"item": item.as_py(), "band": band, "allowed": int(rate * len(t)), "item_tokens": signed(t).tolist(),
                                 "keys": signed(cgk_keys(t[None, :w], band, repetitions)[0]).tolist(),
-                                "grams": (windows(t[:w], Q) >> np.uint64(64 - TABLE_BITS)).astype(np.int64).tolist()})
+                                "grams": slots_of(windows(t[:w], Q)).tolist()})
             kind = pa.schema([("item", batch.schema.field(0).type), ("band", pa.int64()), ("allowed", pa.int64()), ("item_tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return run
 
 
-def _window_rows(table: np.ndarray, bands: list[int], repetitions: int, rate: float):
+def _window_rows(table: np.ndarray, short: np.ndarray, bands: list[int], sizes: list[int], repetitions: int, rate: float):
     names = ("at", "row", "band", "start", "doc_tokens", "keys")
 
     def packed(ids, out):
@@ -98,10 +111,17 @@ def _window_rows(table: np.ndarray, bands: list[int], repetitions: int, rate: fl
             ids, out, held = batch.column(0), {k: [] for k in names}, 0
             for k, data in enumerate(texts(batch.column(1))):
                 t = tokens(data)
-                hits = table[(windows(t, Q) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+                hits = table[slots_of(windows(t, Q))]
+                row = int(salted(windows(t, 1), 5).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0
+                for n in sizes:
+                    runs = run_keys(t, n)
+                    met = np.flatnonzero((short[slots_of(runs)] >> np.uint8(n)) & np.uint8(1))
+                    # The first place of each run of words is enough.
+                    for s in met[np.unique(runs[met], return_index=True)[1]].tolist():
+                        for name, value in zip(names, (k, row, -n, s, signed(t[s : s + n]), signed(runs[s : s + 1]))):
+                            out[name].append(value)
                 if not hits.any():
                     continue
-                row = int(salted(windows(t, 1), 5).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0
                 for band in bands:
                     own = (hits >> hits.dtype.type(band)) & hits.dtype.type(1)
                     if not own.any():
@@ -167,7 +187,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(id, item id, start, distance): documents that hold an item within ``rate`` word edits per item word.
 
     One row per document and item, with the least distance and the first window (in words) that has it. Items under
-    8 words are too short to count. Null and empty texts hold nothing; repeated rows count once. Recall against brute
+    8 words must occur word for word; items without a word are in no document. Null and empty texts hold nothing; repeated rows count once. Recall against brute
     force is about 1 for exact copies and over 0.9 at the allowed distance.
     """
     spark = docs.sparkSession
@@ -176,19 +196,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         _item_rows(repetitions, rate), f"item {item_type}, band long, allowed long, item_tokens array<bigint>, keys array<bigint>, grams array<bigint>"
     )
     items = materialize(items, "items")
-    slots, masks, bands = [], [], set()
-    # At most 2^20 slots come back, whatever the benchmark's size.
-    for r in items.select(F.explode("grams").alias("slot"), "band").groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, cast(band as int))")).alias("mask")).toLocalIterator():
+    slots, masks, bands, sizes, short = [], [], set(), set(), np.zeros(1 << TABLE_BITS, np.uint8)
+    # At most 2 * 2^20 slots come back, whatever the benchmark's size.
+    for r in items.select(F.explode("grams").alias("slot"), "band").groupBy("slot", (F.col("band") < 0).alias("short")).agg(F.bit_or(F.expr("shiftleft(1L, cast(abs(band) as int))")).alias("mask")).toLocalIterator():
+        if r["short"]:
+            short[r["slot"]] = r["mask"]
+            sizes |= {n for n in range(1, WIDTHS[0]) if r["mask"] >> n & 1}
+            continue
         slots.append(r["slot"])
         masks.append(r["mask"])
         bands |= {b for b in range(len(WIDTHS)) if r["mask"] >> b & 1}
     # As narrow as the longest item allows.
     table = np.zeros(1 << TABLE_BITS, np.uint16 if max(bands, default=0) < 16 else np.uint64)
     table[np.array(slots, np.int64)] = np.array(masks, table.dtype)
-    sent = spark.sparkContext.broadcast(table)
+    sent = spark.sparkContext.broadcast((table, short))
 
-    def rows(batches, bands=sorted(bands)):
-        return _window_rows(sent.value, bands, repetitions, rate)(batches)
+    def rows(batches, bands=sorted(bands), sizes=sorted(sizes)):
+        return _window_rows(*sent.value, bands, sizes, repetitions, rate)(batches)
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialize(own.mapInArrow(rows, f"id {id_type}, row long, band long, start long, doc_tokens array<bigint>, keys array<bigint>"), "windows")

@@ -290,6 +290,13 @@ def test_decontamination_of_long_items(spark):
     assert found == {(0, 0): 0, (1, 1): 0, (2, 0): 65}
 
 
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(0, "Who wrote it?"), (1, "zebra"), (2, "one two three four five six seven"), (3, " ?! "), (4, "who wrote"), (5, None)], "item_id long, text string")
+    texts = ["kat; who WROTE it, and who wrote it", "a Zebra", "zebras who", "x one two three four five six, seven", "one two three four six seven", None, "", "it who wrote"]
+    found = {(r.doc_id, r.item_id): (r.start, r.distance) for r in decontaminate.find_leaks(_docs(spark, texts), bench).collect()}
+    assert found == {(0, 0): (1, 0), (0, 4): (1, 0), (1, 1): (1, 0), (3, 2): (1, 0), (7, 4): (1, 0)}
+
+
 def test_edit_distance_equals_brute_force():
     rng = random.Random(9)
 
