@@ -1,6 +1,7 @@
 """License scans: phrase rules and an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines. A block matches a template when it holds at least ``threshold`` of the template's distinct words
+Blocks are lines, and runs of words across line breaks as long as the template's words divided by ``threshold``, for
+notices wrapped over several lines. A block matches a template when it holds at least ``threshold`` of the template's distinct words
 (containment). The words of the templates are ordered by how many documents hold them, rarest first; a match must
 share one of the template's first ``t - need + 1`` words (prefix filter), hold at least ``need`` template words (length
 filter) and have enough words left after the shared one on both sides (positional filter). Pairs that pass are verified.
@@ -91,6 +92,25 @@ def match_blocks(keyed: DataFrame, order: list[str], templates: list[tuple[int,
     return met.where(shared >= F.col("need")).select(*keys, "block", "label", (shared / F.col("t_size")).alias("containment"))
 
 
+def match_runs(keyed: DataFrame, templates: list[tuple[int, str, list[str], int]], threshold: Fraction) -> DataFrame:
+    """(columns of ``keyed`` but text and words, label, containment): the best run of words for each template above the threshold."""
+    keys = [c for c in keyed.columns if c not in ("text", "words")]
+    lengths = [len("".join(c if c.isalnum() else " " for c in text.lower()).split()) for _, text in TEMPLATES]
+    rows = [(label, ws, len(ws), need, math.ceil(lengths[k] / threshold)) for k, label, ws, need in templates]
+    sought = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ws)).alias("t_words"), F.lit(t).alias("t_size"), F.lit(need).alias("need"), F.lit(reach).alias("reach")) for label, ws, t, need, reach in rows))
+    # Prefix and length filters on whole documents first: few hold enough of a template's words anywhere.
+    prefix = F.array(*(F.lit(w) for w in sorted({w for _, ws, t, need, _ in rows for w in ws[: t - need + 1]})))
+    own = keyed.where(F.arrays_overlap("words", prefix)).select(*keys, "words", F.array_distinct("words").alias("held"))
+    able = F.filter(sought, lambda x: F.size(F.array_intersect("held", x["t_words"])) >= x["need"])
+    own = own.select(*keys, "words", F.explode(able).alias("t")).select(*keys, "words", "t.*")
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("t_words", x["word"]))
+    own = own.withColumn("places", places)
+    # A run can start at a template word; no run of ``reach`` words has more than ``reach`` of them.
+    near = lambda x, i: F.filter(F.slice("places", i + 1, F.col("reach")), lambda y: y["at"] < x["at"] + F.col("reach"))
+    shared = F.array_max(F.transform("places", lambda x, i: F.size(F.array_distinct(F.transform(near(x, i), lambda y: y["word"])))))
+    return own.withColumn("shared", shared).where("shared >= need").select(*keys, "label", (F.col("shared") / F.col("t_size")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction | str = "17/20") -> DataFrame:
     """Per document: n_words, places of the base phrases, base labels, all labels and a score from 0 to 1.
 
@@ -102,7 +122,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order, templates = prefix_table(base.select("words"), Fraction(threshold))
 
     keyed = base.withColumn("k", F.xxhash64("text"))
-    matches = match_blocks(keyed, order, templates).groupBy(F.col("id").alias("m_id"), F.col("k").alias("m_k"))
+    blocks = match_blocks(keyed, order, templates).drop("block").unionByName(match_runs(keyed, templates, Fraction(threshold)))
+    matches = blocks.groupBy(F.col("id").alias("m_id"), F.col("k").alias("m_k"))
     matches = matches.agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
 
     places = keyed.select("id", "k", F.size("words").cast("long").alias("n_words"), *(_places(F.col("words"), p).alias(f"p{n}") for n, (_, p) in enumerate(PHRASES)))

@@ -101,6 +101,16 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    notices = [(label, text.split()) for label, text in license_scan.TEMPLATES if len(text.split()) > 12]
+    wrapped = ["start of it\n" + "\n".join("# " + " ".join(w[k : k + 7]) for k in range(0, len(w), 7)) + "\nend" for _, w in notices]
+    apart = [("\n" + "other words here " * 20 + "\n").join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7)) for _, w in notices]
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(_docs(spark, wrapped + apart)).collect()}
+    for k, (label, _) in enumerate(notices):
+        assert label in rows[k].labels.split(",") and rows[k].score == 1.0
+        assert rows[k + len(notices)].labels == ""
+
+
 def test_license_join_equals_brute_force(spark):
     rng = random.Random(5)
     texts = []
