@@ -56,7 +56,7 @@ def _components(texts, n, p, q):
 ODD = [None, "", " \n\t ", "one", "One", "two words", "ünïcode wörter hier drin jetzt"]
 
 
-@pytest.mark.parametrize("words, p, q", [(4, 85, 100), (5, 4, 5), (2, 1, 2)])
+@pytest.mark.parametrize("words, p, q", [(4, 85, 100), (5, 4, 5), (2, 1, 2), (3, 2, 5)])
 def test_ngram_join_equals_brute_force(spark, words, p, q):
     rng = random.Random(words)
     texts = list(ODD)
@@ -86,10 +86,33 @@ def test_sketch_bounds_symmetric_difference():
     pool = rng.integers(0, 2**63, 500).astype(np.uint64)
     for _ in range(50):
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 200))) for _ in range(2))
-        far = sum(int(np.uint64(x & (2**64 - 1)) ^ np.uint64(y & (2**64 - 1))).bit_count() for x, y in zip(ngram_join._sketch(a), ngram_join._sketch(b)))
+        far = sum(int(np.uint64(x & (2**64 - 1)) ^ np.uint64(y & (2**64 - 1))).bit_count() for x, y in zip(ngram_join.bit_sketch(a, 4).tolist(), ngram_join.bit_sketch(b, 4).tolist()))
         assert far <= len(np.setxor1d(a, b))
 
 
+def test_unlinked_variants_hardly_meet(spark, monkeypatch):
+    rng = random.Random(31)
+    wide = [a + b for a in VOCAB for b in VOCAB]
+    base = [rng.choice(wide) for _ in range(1000)]
+
+    def variant(edits):
+        words = list(base)
+        for at in rng.sample(range(1000), edits):
+            words[at] = rng.choice(wide)
+        return " ".join(words)
+
+    compared, real = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more: compared.append(pairs.count()) or real(pairs, *more))
+    met = {}
+    for n in (50, 200):
+        compared.clear()
+        texts = [variant(40) for _ in range(n)]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(_docs(spark, texts), words=4, threshold="85/100").collect()}
+        assert got == _components(texts, 4, 85, 100)
+        met[n] = sum(compared)
+    assert met[200] <= 4 * met[50] + 100, met
+
+
 def test_license_scan(spark):
     texts = [*ODD, "Released under the MIT License.", "x under the mit\nlicense y under-the MIT license", "Apache License, Version 2.0", "cc-by-nc", "This work is licensed under the GNU General Public License version 3!", "released under the license", "under the mitt license " * 3]
     rows = {r.doc_id: r for r in license_scan.scan_licenses(_docs(spark, texts)).collect()}
