@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from .columns import fresh
 from .text import IS_ALNUM, LOWER, mix, salted, signed, span_hashes, spans, texts, windows
 
 WIDTHS = (8, 11, 15, 21, 29, 40, 56, 78, 109, 152, 213, 298)
@@ -227,6 +228,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that hold no benchmark item, with all their columns, whatever their names; rows of an id go or stay together."""
+    (leak,) = fresh(docs.columns, "leak")
+    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias(leak)).distinct()
+    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col(leak)), "left_anti")

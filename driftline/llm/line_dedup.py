@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from .columns import fresh
 
 
 def _least_chunk(lines: Column, i: Column, step: int, least_chars: int) -> Column:
@@ -66,14 +67,15 @@ def repeated_chunks(keyed: DataFrame, long_line: int, least_chars: int) -> DataF
     return chunks.join(twice, "chunk", "left_semi").select("id", "k", "start", "end", "chunk")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 200, least_chars: int = 60, drop_emptied: bool = True) -> DataFrame:
-    """``docs`` with repeated chunks of lines removed from ``text_col``, and ``_n_removed_lines``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 200, least_chars: int = 60, drop_emptied: bool = True, count_col: str | None = None) -> DataFrame:
+    """``docs`` with repeated chunks of lines removed from ``text_col``, and how many went in ``count_col`` if that is given.
 
     A passage counts if it has two lines or more and ``least_chars`` characters, or a line of ``long_line`` characters. Each of
     its lines goes, with the blank lines between them, where equal lines stand earlier by (id, position); of every line
     that goes, an equal one stays. Lines keep their order; other columns are not touched (a stale character count
     too). Documents of which nothing but blanks is left are dropped unless ``drop_emptied`` is false; null and empty
-    texts stay as they are. Rows that repeat both id and text count as one document.
+    texts stay as they are. Rows that repeat both id and text count as one document. ``count_col`` must be a new name; all
+    other names of ``docs`` may be anything. An empty table gives an empty table.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("k", F.xxhash64("text"))
     chunks = materialize(repeated_chunks(keyed, long_line, least_chars), "chunks")
@@ -93,12 +95,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     opens = F.col("start") > F.coalesce(F.max("end").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     gone = gone.select("id", "k", "start", "end", opens.cast("int").alias("opens")).withColumn("number", F.sum("opens").over(document))
     gone = gone.groupBy("id", "k", "number").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    gone = gone.groupBy(F.col("id").alias("g_id"), F.col("k").alias("g_k")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-
-    out = docs.withColumn("_k", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("g_id")) & (F.col("_k") == F.col("g_k")), "left")
-    stays = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.exists("gone", lambda g: (i >= g["start"]) & (i < g["end"])))
-    removed = F.aggregate(F.coalesce("gone", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0).cast("long"), lambda n, g: n + g["end"] - g["start"])
-    out = out.withColumn("_n_removed_lines", removed).withColumn(text_col, F.when(F.col("gone").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col(text_col)))
+    g_id, g_k, k, parts = fresh(docs.columns, "g_id", "g_k", "k", "gone")
+    gone = gone.groupBy(F.col("id").alias(g_id), F.col("k").alias(g_k)).agg(F.collect_list(F.struct("start", "end")).alias(parts))
+
+    out = docs.withColumn(k, F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(g_id)) & (F.col(k) == F.col(g_k)), "left")
+    stays = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.exists(parts, lambda g: (i >= g["start"]) & (i < g["end"])))
+    removed = F.aggregate(F.coalesce(parts, F.array().cast("array<struct<start:int,end:int>>")), F.lit(0).cast("long"), lambda n, g: n + g["end"] - g["start"])
+    new = F.when(F.col(parts).isNotNull(), F.array_join(stays, "\n")).otherwise(F.col(text_col))
+    out = out.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns), removed.alias(count_col or k), F.col(parts).isNull().alias(g_k))
     if drop_emptied:
-        out = out.where(F.col("gone").isNull() | (F.col(text_col).rlike(r"[^\x20\x09-\x0D]")))
-    return out.select(*docs.columns, "_n_removed_lines")
+        out = out.where(F.col(g_k) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*docs.columns, *([count_col] if count_col else []))

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+from .columns import fresh
+
 #: exp(-rate) is a normal number up to here; higher rates are split into parts of at most ``PART``.
 MOST, PART = 700, 500
 
@@ -56,17 +59,23 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, total: int | None = None, seed: int = 17) -> DataFrame:
     """``docs``, each row as often as its count says, with ``_copy`` (from 0) and ``_order``, globally shuffled.
 
-    Rows of equal ids have equal counts. Null sources are one source, null ids count as empty text. Every rate works.
+    If ``docs`` has columns of these names, underscores are added to the new ones'. Rows of equal ids have equal counts, rows that
+    repeat an id are drawn each. Null sources are one source, null ids count as empty text. Texts are not looked at. Every
+    rate works. An empty table gives an empty table.
+
+    The table of rates is written first: Spark sees its size, and sends it to all tasks while it is small enough, so that documents are
+    not moved by source.
     """
-    table = rates(docs, source_col, weights, total)
-    table = table.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
-    drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("_source")))
-    count = lambda u: F.size(F.filter("_cdf", lambda c: c <= u))
+    copy, order, source, parts, cdf, u, others, n = fresh(docs.columns, "_copy", "_order", "_source", "_parts", "_cdf", "_u", "_others", "_n")
+    table = materialize(rates(docs, source_col, weights, total), "rates")
+    table = table.select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col(source)))
+    count = lambda x: F.size(F.filter(cdf, lambda c: c <= x))
     # All draws but the first have their own text to hash.
-    others = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: uniform(seed, F.lit("draw"), k, F.col(id_col)))
-    drawn = drawn.withColumn("_u", uniform(seed, F.col(id_col))).withColumn("_more", F.when(F.col("_parts") > 1, others))
-    more = F.when(F.col("_more").isNotNull(), F.aggregate("_more", F.lit(0), lambda n, u: n + count(u))).otherwise(0)
-    drawn = drawn.withColumn("_n", count(F.col("_u")) + more).where("_n > 0")
-    copies = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
-    copies = copies.withColumn("_order", uniform(seed + 1, F.col(id_col), F.col("_copy")))
-    return copies.repartition("_order", "_copy").sortWithinPartitions("_order", id_col, "_copy")
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda k: uniform(seed, F.lit("draw"), k, F.col(id_col)))
+    drawn = drawn.withColumn(u, uniform(seed, F.col(id_col))).withColumn(others, F.when(F.col(parts) > 1, draws))
+    more = F.when(F.col(others).isNotNull(), F.aggregate(others, F.lit(0), lambda k, x: k + count(x))).otherwise(0)
+    drawn = drawn.withColumn(n, count(F.col(u)) + more).where(F.col(n) > 0)
+    copies = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
+    copies = copies.withColumn(order, uniform(seed + 1, F.col(id_col), F.col(copy)))
+    return copies.repartition(order, copy).sortWithinPartitions(order, id_col, copy)

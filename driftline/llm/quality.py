@@ -1,19 +1,25 @@
 """Quality rules with adaptive thresholds.
 
-Every text is measured once. Per (lang, source) a KLL sketch of each measure is built; sketches are merged upwards
-(language, then all) for groups too small to have thresholds of their own. A document passes the adaptive rules while
-each measure stays below the upper fence ``q75 + fence * (q75 - q25) + slack`` of its group; measures that have two
-bad sides also have a lower fence. Thresholds are joined back to the documents and filter them.
+Every text is measured. Per (lang, source) a KLL sketch of each measure is built; sketches are merged upwards
+(language, then all) for groups in which too few documents have the measure. A document passes the adaptive rules while
+each measure stays below the upper fence ``q75 + fence * (q75 - q25)`` of its group (shares: ``q75 / 4`` if that is more); measures that have two bad sides
+also have a lower fence. No threshold is a constant: shares of symbols are smoothed by one, so that they vary
+with the texts' lengths where nearly no text has a symbol, and shares of repeats are sketched over the documents that have any.
+Thresholds are joined back to the documents and filter them.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.scratch import materialize
+from .columns import fresh
 from .text import IS_WORD, span_hashes, spans, texts, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -28,14 +34,14 @@ _IS_LETTER = _IS_UPPER.copy()
 _IS_LETTER[97:123] = True
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punctuation", "n_upper", "n_letters")
-#: Measure -> (expression over the counts, slack above the fence, whether a lower fence holds too).
+#: Measure -> (expression over the counts, documents that have it, whether a lower fence holds too).
 MEASURES = {
-    "symbol_ratio": ("n_symbols / greatest(word_chars, 1)", 0.05, False),
-    "punctuation_ratio": ("n_punctuation / greatest(word_chars, 1)", 0.10, False),
-    "upper_ratio": ("n_upper / greatest(n_letters, 1)", 0.15, False),
-    "dup_line_ratio": ("n_dup_lines / greatest(n_lines, 1)", 0.45, False),
-    "repeat_ratio": ("n_repeat_words / greatest(n_words, 1)", 0.35, False),
-    "mean_word_chars": ("word_chars / greatest(n_words, 1)", 2.5, True),
+    "symbol_ratio": ("(n_symbols + 1) / (word_chars + 1)", "n_words > 0", False),
+    "punctuation_ratio": ("(n_punctuation + 1) / (word_chars + 1)", "n_words > 0", False),
+    "upper_ratio": ("n_upper / n_letters", "n_letters > 0", False),
+    "dup_line_ratio": ("n_dup_lines / n_lines", "n_dup_lines > 0", False),
+    "repeat_ratio": ("n_repeat_words / n_words", "n_repeat_words > 0", False),
+    "mean_word_chars": ("word_chars / n_words", "n_words > 0", True),
 }
 
 
@@ -60,87 +66,98 @@ def count_text(data: np.ndarray) -> tuple[int, ...]:
     )
 
 
-def _counting(text_at: int):
+def _counting(text_at: int, prefix: str):
     def run(batches):
         for batch in batches:
             rows = [count_text(data) for data in texts(batch.column(text_at))]
             cols = zip(*rows) if rows else [[] for _ in COUNTS]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names, *(f"_q_{c}" for c in COUNTS)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names, *(prefix + c for c in COUNTS)])
 
     return run
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its columns ``keep``, or all) plus ``_q_*`` counts of the text; null text counts as empty."""
+def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, prefix: str = "_q_") -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) plus the counts of the text, named by ``prefix``; null text counts as empty."""
     cols = keep if keep is not None else docs.columns
-    picked = docs.select(F.col(text_col).alias("_q_text"), *(F.col(c) for c in cols))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema) + "".join(f", _q_{c} long" for c in COUNTS)
-    return picked.mapInArrow(_counting(0), schema).drop("_q_text")
+    (text,) = fresh(cols, "text")
+    picked = docs.select(F.col(text_col).alias(text), *(F.col(c) for c in cols))
+    schema = StructType([*picked.schema.fields, *(StructField(prefix + c, LongType()) for c in COUNTS)])
+    return picked.mapInArrow(_counting(0, prefix), schema).drop(text)
 
 
-def _measure(name: str) -> F.Column:
-    expr = MEASURES[name][0]
-    for c in sorted(COUNTS, key=len, reverse=True):
-        expr = expr.replace(c, f"_q_{c}")
-    return F.expr(f"cast({expr} as double)")
+def _measure(name: str, prefix: str = "_q_") -> F.Column:
+    """The measure of a document that has it, else null."""
+    expr, has, _ = (re.sub(r"\b(" + "|".join(COUNTS) + r")\b", rf"`{prefix}\1`", str(x)) for x in MEASURES[name])
+    return F.expr(f"CASE WHEN {has} THEN cast({expr} as double) END")
 
 
-def base_failed() -> F.Column:
-    return (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
+def base_failed(prefix: str = "_q_") -> F.Column:
+    words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < 50) | (100 * repeats > 50 * words)
 
 
-def thresholds(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", fence: float = 3.0, min_group: int = 50) -> DataFrame:
-    """(lang, source, lo_*, hi_*): fences of every group, from merged sketches where it has under ``min_group`` documents.
+def thresholds(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", fence: float = 5.0, min_group: int = 50, prefix: str = "_q_") -> DataFrame:
+    """(lang, source, lo_*, hi_*): fences of every group, from merged sketches where fewer than ``min_group`` documents have a measure.
 
+    Where too few have it even in all groups together, those few make the fence; a measure that no document has has none (null).
     Documents without a word have no measures. Null languages and sources are groups of their own.
     """
-    measured = counted.where("_q_n_words > 0").select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *(_measure(m).alias(m) for m in MEASURES))
-    own = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES))
+    measured = counted.where(F.col(f"{prefix}n_words") > 0).select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *(_measure(m, prefix).alias(m) for m in MEASURES))
+    own = measured.groupBy("lang", "source").agg(*(F.count(m).alias(f"n_{m}") for m in MEASURES), *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES))
     own = materialize(own, "sketches")
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
+    merged = [*(F.sum(f"n_{m}").alias(f"n_{m}") for m in MEASURES), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
     by_lang, of_all = own.groupBy("lang").agg(*merged), own.groupBy().agg(*merged)
 
     def named(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{c}_{tag}") if c not in ("lang", "source") else F.col(c) for c in df.columns))
 
-    lang = named(by_lang, "l").withColumnRenamed("lang", "_lang")
-    both = named(own, "o").join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(named(of_all, "a")))
+    lang = named(by_lang, "l").withColumnRenamed("lang", "lang_l")
+    both = named(own, "o").join(lang, F.col("lang").eqNullSafe(F.col("lang_l"))).join(F.broadcast(named(of_all, "a")))
     out = []
-    for m, (_, slack, two_sided) in MEASURES.items():
-        sketch = F.when(F.col("n_o") >= min_group, F.col(f"{m}_o")).when(F.col("n_l") >= min_group, F.col(f"{m}_l")).otherwise(F.col(f"{m}_a"))
+    for m, (*_, two_sided) in MEASURES.items():
+        sketch = F.when(F.col(f"n_{m}_o") >= min_group, F.col(f"{m}_o")).when(F.col(f"n_{m}_l") >= min_group, F.col(f"{m}_l")).when(F.col(f"n_{m}_a") > 0, F.col(f"{m}_a"))
         q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        out.append((q3 + fence * (q3 - q1) + slack).alias(f"hi_{m}"))
-        out.append(((q1 - fence * (q3 - q1) - slack) if two_sided else F.lit(None).cast("double")).alias(f"lo_{m}"))
+        # Shares may be alike in over half of the documents; then a quarter of the quantile itself stands for their spread.
+        wide = q3 - q1 if two_sided else F.greatest(q3 - q1, q3 / 4)
+        out.append((q3 + fence * wide).alias(f"hi_{m}"))
+        out.append(((q1 - fence * wide) if two_sided else F.lit(None).cast("double")).alias(f"lo_{m}"))
     return both.select("lang", "source", *out)
 
 
-def judged(counted: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``counted`` plus ``base_failed`` and ``kept``; the limits are joined on language and source."""
-    limits = limits.withColumnRenamed("lang", "_q_lang").withColumnRenamed("source", "_q_source")
-    both = counted.join(limits, F.col(lang_col).eqNullSafe(F.col("_q_lang")) & F.col(source_col).eqNullSafe(F.col("_q_source")), "left")
+def judged(counted: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "_q_") -> DataFrame:
+    """``counted`` plus ``<prefix>base_failed`` and ``<prefix>kept``; the limits are joined on language and source."""
+    names = dict(zip(limits.columns, fresh(counted.columns, *(f"{prefix}{c}" for c in limits.columns))))
+    limits = limits.withColumnsRenamed(names)
+    both = counted.join(limits, F.col(lang_col).eqNullSafe(F.col(names["lang"])) & F.col(source_col).eqNullSafe(F.col(names["source"])), "left")
     good = F.lit(True)
     for m in MEASURES:
-        good &= F.coalesce(_measure(m) <= F.col(f"hi_{m}"), F.lit(True)) & F.coalesce(_measure(m) >= F.col(f"lo_{m}"), F.lit(True))
-    both = both.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & good)
-    return both.drop("_q_lang", "_q_source", *(f"{s}_{m}" for s in ("lo", "hi") for m in MEASURES))
+        value = _measure(m, prefix)
+        good &= F.coalesce(value <= F.col(names[f"hi_{m}"]), F.lit(True)) & F.coalesce(value >= F.col(names[f"lo_{m}"]), F.lit(True))
+    both = both.withColumn(f"{prefix}base_failed", base_failed(prefix)).withColumn(f"{prefix}kept", ~base_failed(prefix) & good)
+    return both.drop(*names.values())
 
 
-def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 3.0, min_group: int = 50) -> DataFrame:
+def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 5.0, min_group: int = 50) -> DataFrame:
     """One row per document: id, the counts, ``base_failed`` and ``kept``.
 
     Base rule: under 50 words, or over half of the words in 3-word windows that the text holds twice or more. Null and
-    empty texts have counts of 0 and fail. Repeated rows are judged alike. An empty table gives an empty table.
+    empty texts have counts of 0 and fail. Null languages and sources are groups like others. Repeated rows are judged alike and
+    count each in the sketches. Other columns play no part. An empty table gives an empty table.
     """
-    counted = materialize(with_counts(docs, text_col, [id_col, lang_col, source_col]), "counts")
-    limits = thresholds(counted, lang_col, source_col, fence, min_group)
-    out = judged(counted, limits, lang_col, source_col)
-    return out.select(id_col, *(F.col(f"_q_{c}").alias(c) for c in COUNTS), "base_failed", "kept")
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    counted = materialize(with_counts(own, "text", ["id", "lang", "source"]), "counts")
+    out = judged(counted, thresholds(counted, fence=fence, min_group=min_group))
+    return out.select(F.col("id").alias(id_col), *(F.col(f"_q_{c}").alias(c) for c in (*COUNTS, "base_failed", "kept")))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 3.0, min_group: int = 50) -> DataFrame:
-    """The documents that pass the base rule and the adaptive rules, with the columns of ``docs``.
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 5.0, min_group: int = 50) -> DataFrame:
+    """The documents that pass the base rule and the adaptive rules, with the columns of ``docs``, whatever their names.
 
-    Texts are counted again in the second pass, so that no text is shuffled.
+    Texts are counted again in the second pass, so that no text is shuffled. Odd rows: see ``quality_report``.
     """
-    limits = materialize(thresholds(with_counts(docs, text_col, [lang_col, source_col]), lang_col, source_col, fence, min_group), "limits")
-    return judged(with_counts(docs, text_col), limits, lang_col, source_col).where("kept").select(*(F.col(c) for c in docs.columns))
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    own = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    limits = materialize(thresholds(with_counts(own, "text", ["lang", "source"]), fence=fence, min_group=min_group), "limits")
+    return judged(with_counts(docs, text_col, prefix=prefix), limits, lang_col, source_col, prefix).where(F.col(f"{prefix}kept")).select(*(F.col(c) for c in docs.columns))

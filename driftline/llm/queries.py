@@ -31,8 +31,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), drop_emptied=False)
-    return out.withColumnRenamed("_n_removed_lines", "n_removed_lines")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), drop_emptied=False, count_col="n_removed_lines")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

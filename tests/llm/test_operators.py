@@ -211,14 +211,14 @@ def test_line_dedup(spark):
     own = [[line() for _ in range(6)] for _ in range(8)]
     texts = ["\n".join([*o[:3], *passage, *o[3:], short]) for o in own[:5]] + ["\n".join([o[0], long_line, *o[1:], short]) for o in own[5:]] + [None, "", "\n\n", "alone"]
     docs = _docs(spark, texts)
-    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs, count_col="_n").collect()}
     assert rows[0].text == texts[0] and rows[5].text == texts[5]
     for k in range(1, 5):
-        assert rows[k].text == "\n".join([*own[k], short]) and rows[k]._n_removed_lines == 4
+        assert rows[k].text == "\n".join([*own[k], short]) and rows[k]._n == 4
     for k in (6, 7):
         assert rows[k].text == "\n".join([*own[k], short])
     assert [rows[k].text for k in range(8, 12)] == texts[8:]
-    assert line_dedup.dedup_lines(docs).drop("_n_removed_lines").columns == docs.columns
+    assert line_dedup.dedup_lines(docs).columns == docs.columns
     copies = line_dedup.dedup_lines(_docs(spark, [texts[0], texts[0], texts[0] + "\nmore"]))
     assert [r.doc_id for r in copies.orderBy("doc_id").collect()] == [0, 2]
     twice = docs.unionByName(docs)
@@ -241,9 +241,9 @@ def test_line_dedup_removes_whole_passages(spark):
         "\n".join([own[31]] * 4),  # does not overlap its first occurrence
     ]
     want = [texts[0], "\n\n\n".join(own[1:3]), own[3], *texts[3:14], own[24], texts[15], own[26], texts[17], texts[18], "\n".join(own[27:29]), texts[20], own[30], "\n".join([own[31]] * 2)]
-    rows = {r.doc_id: r for r in line_dedup.dedup_lines(_docs(spark, texts), drop_emptied=False).collect()}
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(_docs(spark, texts), drop_emptied=False, count_col="_n").collect()}
     assert [rows[k].text for k in range(len(texts))] == want
-    assert all(rows[k]._n_removed_lines == len(texts[k].split("\n")) - len(want[k].split("\n")) for k in rows)
+    assert all(rows[k]._n == len(texts[k].split("\n")) - len(want[k].split("\n")) for k in rows)
 
 
 def test_quality_counts_equal_brute_force(spark):
@@ -270,6 +270,99 @@ def test_quality_thresholds_follow_the_group(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    """Groups of up to a sketch's exact size: quantiles are those of the sorted values."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(400):
+        lang, source = ("en", "de", None)[k % 3], ("a", "b")[k % 2]
+        junk = rng.random() < 0.05
+        words = _text(rng, rng.randrange(60, 200)).split()
+        marks = rng.randrange(0, 12) if lang == "de" else 0
+        words = [w + "#" * (i < marks) for i, w in enumerate(words)] if not junk else [w + "$%" for w in words]
+        rows.append((k, " ".join(words) + ("\n" + words[0]) * rng.choice((0, 0, 0, 1, 3)), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = {k: dict(zip(quality.COUNTS, quality.count_text(np.frombuffer(t.encode(), np.uint8)))) for k, t, *_ in rows}
+    measures = {}
+    for k, c in counts.items():
+        measures[k] = {m: eval(expr, {}, c) for m, (expr, has, _) in quality.MEASURES.items() if eval(has, {}, c)}
+
+    def fences(m, lang, source):
+        for group in ((lambda r: r[2:] == (lang, source)), (lambda r: r[2] == lang), (lambda r: True)):
+            values = sorted(measures[r[0]][m] for r in rows if group(r) and m in measures[r[0]])
+            if len(values) >= 50:
+                break
+        if not values:
+            return -1e9, 1e9
+        q1, q3 = (values[max(0, -int(-q * len(values) // 1) - 1)] for q in (0.25, 0.75))
+        two = quality.MEASURES[m][2]
+        wide = q3 - q1 if two else max(q3 - q1, q3 / 4)
+        return (q1 - 5 * wide if two else -1e9), q3 + 5 * wide
+
+    limits = {(m, r[2], r[3]): fences(m, r[2], r[3]) for m in quality.MEASURES for r in rows}
+    want = {}
+    for k, _, lang, source in rows:
+        bad = counts[k]["n_words"] < 50 or 2 * counts[k]["n_repeat_words"] > counts[k]["n_words"]
+        want[k] = not bad and all(limits[m, lang, source][0] <= x <= limits[m, lang, source][1] for m, x in measures[k].items())
+    got = {r.doc_id: r.kept for r in quality.quality_report(docs).collect()}
+    assert got == want and 5 < sum(not x for x in want.values()) < 60
+    assert len({round(limits["symbol_ratio", lang, source][1], 6) for lang in ("en", "de") for source in "ab"}) == 4
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {k for k, x in want.items() if x}
+
+
+CLASHES = ("id", "k", "row", "_k", "gone", "g_id", "_n", "_u", "_order", "_cdf", "_source", "_copy", "kept", "base_failed", "_q_text", "_q_n_words", "hi_upper_ratio", "_q_lang", "leak", "kept_id", "copy", "shuffle_key", "size", "key", "n")
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    base = [_text(rng, 90) for _ in range(12)]
+    texts = [*base, base[0], None, "", "too short", _text(rng, 12000)]
+    docs = _docs(spark, texts).drop("_text")
+    docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string")))
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    spark.createDataFrame([(0, base[5])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert rows and all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in rows for c in CLASHES), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(29)
+    wide = [a + b for a in VOCAB for b in VOCAB]
+    text = lambda n: " ".join(rng.choice(wide) for _ in range(n))
+    passage, item = "\n".join(text(20) for _ in range(3)), text(25)
+    good = [text(rng.randrange(150, 200)) for _ in range(60)]
+    texts = good + [g + "\n" + passage for g in (text(160) for _ in range(4))] + [good[0], _edit(rng, good[1], 1), text(80) + " " + item + " " + text(80), "few words", None]
+    docs = _docs(spark, texts).drop("_text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # Rejected: 67 and 68 by the base rule; the passage stays in 60 only; 64 and 65 are copies of 0 and 1; 66 holds the item.
+    want = {k: t for k, t in enumerate(texts[:64])}
+    for k in (61, 62, 63):
+        want[k] = texts[k].split("\n")[0]
+    left = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        left.setdefault(r.doc_id, []).append((r.copy, r.text))
+    n = {s: sum(1 for k in want if f"s{k % 2}" == s) for s in ("s0", "s1")}
+    for k, t in want.items():
+        rate = len(want) / 2 / n[f"s{k % 2}"]
+        u = int(hashlib.md5(f"17:{k}".encode()).hexdigest()[:13], 16) / 2**52
+        count, p, total = 0, np.exp(-rate), np.exp(-rate)
+        while total <= u:
+            count += 1
+            p *= rate / count
+            total += p
+        assert sorted(left.pop(k, [])) == [(c, t) for c in range(count)], k
+    assert not left
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "<p>ünï</p>\r\n\r\nWARC/1.1\r\n" + "y" * 100
     rows = [(3, "u\r\n3", same), (1, "u1", same), (2, None, same), (4, "u4", "tiny"), (5, "u5", "tiny"), (6, "u6", None), (7, "u7", "z" * 100)]
