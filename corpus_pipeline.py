@@ -1,10 +1,17 @@
-"""A training corpus from raw documents, as five stages; each is written as Parquet before the next one reads it."""
+"""A training corpus from raw documents, as five stages; each is written as Parquet before the next one reads it.
+
+Null and blank texts fail the base rule of the first stage. Rows that repeat an id and a text count as one document in
+line dedup and near duplicates, so they stay or go together. Null ids, languages and sources are values like others. Texts of any length
+are read whole. Columns beyond those of ``documents`` stay, whatever their names; the last stage's own columns get
+underscores where theirs are taken. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from driftline.llm.columns import fresh
 from driftline.plans.scratch import materialize
 
 
@@ -15,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go, all but the first; so do documents of which nothing is left."""
-    return line_dedup.dedup_lines(docs).drop("_n_removed_lines")
+    return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to equal weights; documents stand in a global random order, as often as drawn."""
-    return mixing.mix_sources(docs).withColumnsRenamed({"_copy": "copy", "_order": "shuffle_key"})
+    mixed = mixing.mix_sources(docs)
+    return mixed.withColumnsRenamed(dict(zip(mixed.columns[-2:], fresh(docs.columns, "copy", "shuffle_key"))))
 
 
 STAGES = [
