@@ -1,13 +1,16 @@
 """Toxicity: a logistic regression on word features, regularised by counterfactuals.
 
-In labelled texts that hold identity terms, the terms are swapped for others; the loss adds the squared change of the
-score, so that the mere mention of a group carries no weight. Features are the presence of words and of word beginnings
+In labelled texts that hold identity terms, the terms are swapped for others; all other labelled texts get a neutral mention of
+a group. The loss adds the mean squared change of the log odds over these pairs, so that the mere mention of a group
+carries no weight, however the labels go with it. Identity terms always are features. Other features are the presence of words and of word beginnings
 (4 to 8 bytes), chosen by the strength of their association with the label and counted by Spark.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,12 @@ def features(data: np.ndarray) -> np.ndarray:
 
 
 def swapped(text: str) -> list[str]:
-    """Two versions of a text in which every identity term is another of its row; none if it has no term."""
+    """Counterfactual versions of a text: two in which every identity term is another of its row; if it has none, one that mentions
+    a group, which the text's own hash picks."""
     low = text.lower()
     if not _TERM.search(low):
-        return []
+        terms = sorted(_PEERS)
+        return [f"{low} {terms[zlib.crc32(low.encode()) % len(terms)]}"]
 
     def other(shift: int):
         def put(m: re.Match) -> str:
@@ -58,6 +63,16 @@ def swapped(text: str) -> list[str]:
     return [_TERM.sub(other(k), low) for k in (1, 5)]
 
 
+def term_features() -> np.ndarray:
+    """The word features of all identity terms."""
+    return np.concatenate([_word_feature(t) for t in sorted(_PEERS)])
+
+
+def _word_feature(word: str) -> np.ndarray:
+    data = np.frombuffer(word.encode(), np.uint8)
+    return salted(span_hasher(LOWER[data])(np.array([0]), np.array([len(data)])), 1)
+
+
 def _counting(batches):
     for batch in batches:
         toxic = np.array(batch.column(1).to_pylist(), bool)
@@ -113,16 +128,18 @@ def _rows_of(model: Model):
 
 
 def fit_weights(has: list[list[int]], toxic: list[int], other: list[list[list[int]]], n: int, fairness: float = 4.0, decay: float = 5e-4, rounds: int = 500) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on log loss + decay |w|^2 + fairness * mean squared score change of swaps."""
+    """Accelerated gradient descent on log loss + decay |w|^2 + fairness * mean squared change of the log odds over the pairs."""
     x = np.zeros((len(has), n + 1), np.float32)
     x[:, n] = 1
     for k, f in enumerate(has):
         x[k, f] = 1
-    pairs = [(k, f) for k, versions in enumerate(other) for f in versions]
+    pairs = Counter((tuple(sorted(set(f) - set(has[k]))), tuple(sorted(set(has[k]) - set(f)))) for k, versions in enumerate(other) for f in versions)
+    n_pairs = max(1, sum(pairs.values()))
+    # Pairs that differ alike share one row, whose size is the root of their share.
     change = np.zeros((len(pairs), n + 1), np.float32)
-    for row, (k, f) in enumerate(pairs):
-        change[row, f] += 1
-        change[row, has[k]] -= 1
+    for row, ((more, fewer), often) in enumerate(pairs.items()):
+        change[row, list(more)] = (often / n_pairs) ** 0.5
+        change[row, list(fewer)] = -((often / n_pairs) ** 0.5)
     y = np.array(toxic, np.float32)
     w, step = np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
     shrink = np.full(n + 1, decay, np.float32)
@@ -132,7 +149,7 @@ def fit_weights(has: list[list[int]], toxic: list[int], other: list[list[list[in
     for _ in range(20):
         u = x.T @ (x @ v) / (4 * max(len(y), 1)) + shrink * v
         if len(pairs):
-            u += fairness * 2 * change.T @ (change @ v) / max(len(y), 1)
+            u += fairness * 2 * change.T @ (change @ v)
         bend = max(float(np.linalg.norm(u)), 1e-6)
         v = u / bend
     rate = 0.9 / bend
@@ -140,21 +157,23 @@ def fit_weights(has: list[list[int]], toxic: list[int], other: list[list[list[in
         ahead = w + 0.9 * step
         slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) / max(len(y), 1) + shrink * ahead
         if len(pairs):
-            slope += fairness * 2 * change.T @ (change @ ahead) / max(len(y), 1)
+            slope += fairness * 2 * change.T @ (change @ ahead)
         step = 0.9 * step - rate * slope
         w = w + step
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_features: int = 2048) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_features: int = 2048, fairness: float = 4.0) -> Model:
     """Fit on at most ``max_rows`` labelled documents, those with the smallest id hashes, none of them held out.
 
     The bound keeps the label table that is broadcast and the rows that reach the driver (feature positions, no text)
-    small. Null labels and ids are left out; several labels of one id count as the largest.
+    small. Features are the ``max_features`` with the largest likelihood ratio, of those that 4 of these documents hold and whose
+    ratio is 6 or more (a chance of about 1 in 2,000 for a feature without a meaning), and all identity terms. Null labels and ids
+    are left out; several labels of one id count as the largest, documents that repeat an id count each.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(usable), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), F.col("_toxic").cast("long").alias("toxic"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(usable), F.col("id") == F.col("_id")).select("text", F.col("_toxic").cast("long").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -164,10 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cell = lambda seen, row, column: f"coalesce(({seen}) * ln(({seen}) * {n_toxic + n_clean}D / (({row}) * ({column}))), 0)"
     strength = F.expr(" + ".join((cell("t", "t + c", n_toxic), cell("c", "t + c", n_clean), cell(f"{n_toxic} - t", f"{n_toxic + n_clean} - t - c", n_toxic), cell(f"{n_clean} - c", f"{n_toxic + n_clean} - t - c", n_clean))))
     best = counts.where("t + c >= 4").withColumn("strength", strength).where("strength >= 6").orderBy(F.desc("strength"), "feature").limit(max_features).collect()
-    chosen = np.array([r["feature"] for r in best], np.int64).view(np.uint64)
+    chosen = np.unique(np.r_[np.array([r["feature"] for r in best], np.int64).view(np.uint64), term_features()])
     model = Model(chosen, np.zeros(len(chosen)), 0.0)
     data = rows.mapInArrow(_rows_of(model), "toxic long, has array<bigint>, other array<array<bigint>>").collect()
-    weights, bias = fit_weights([r["has"] for r in data], [r["toxic"] for r in data], [r["other"] for r in data], len(chosen))
+    weights, bias = fit_weights([r["has"] for r in data], [r["toxic"] for r in data], [r["other"] for r in data], len(chosen), fairness)
     return Model(model.chosen, weights, bias)
 
 
@@ -187,7 +206,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id, held_out, score, predicted) per document; a score uses the whole text and nothing else.
 
     Null and empty texts have the score of a text without features. Rows whose crc32(id as text) mod 5 is 0 are held out
-    from training; a null id is not held out. Without labels of both kinds the score is the smoothed base rate.
+    from training; a null id is not held out. Without labels of both kinds the score is the smoothed base rate. Repeated rows are
+    scored each, an empty table gives an empty table, and columns but id and text play no part.
     """
     model = model or train(docs, labels, id_col, text_col, label_col)
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -200,8 +200,29 @@ def test_toxicity_learns_and_ignores_identity_terms(spark):
     score = lambda t: model.score(np.frombuffer(t.encode(), np.uint8))
     plain = _text(rng, 30)
     assert abs(score(plain + " muslims") - score(plain)) < 0.12 and score(plain + " muslims") < 0.5 < score(plain + " vermin scumbag")
+    blind = toxicity.train(docs, marks, fairness=0.0)
+    odds = lambda m, t: np.log(m.score(np.frombuffer(t.encode(), np.uint8)) / (1 - m.score(np.frombuffer(t.encode(), np.uint8))))
+    gap = lambda m: odds(m, plain + " muslims") - odds(m, plain)
+    assert gap(blind) > 0.5 and gap(blind) > 10 * abs(gap(model))
     odd = toxicity.score_toxicity(_docs(spark, ODD), marks.limit(0)).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    long = [(None, "scumbag vermin"), (5, _text(rng, 30000) + " scumbag vermin"), (5, _text(rng, 30000) + " scumbag vermin")]
+    more = docs.unionByName(spark.createDataFrame(long, "doc_id long, text string")).withColumn("_id", F.lit(1)).withColumn("score", F.lit("x"))
+    out = toxicity.score_toxicity(more, marks, model=model).collect()
+    assert len(out) == 903 and sum(r.doc_id is None and not r.held_out and r.predicted == 1 for r in out) == 1
+    assert toxicity.score_toxicity(docs.limit(0), marks).count() == 0
+
+
+def test_counterfactual_pairs_of_texts_without_identity_terms():
+    (version,) = toxicity.swapped("Some plain Text")
+    assert version.startswith("some plain text ") and version.split()[-1] in toxicity._PEERS
+    assert len(toxicity.swapped("two women")) == 2 and all("women" not in v.split() for v in toxicity.swapped("two women"))
+    # A term that stands in toxic texts only: with mentions in all texts as pairs it loses nearly all of its weight.
+    has, toxic = [[0] if k % 2 else [1] for k in range(100)], [k % 2 for k in range(100)]
+    other = [[[*h, 0]] for h in has]
+    free, _ = toxicity.fit_weights(has, toxic, other, 2, fairness=0.0)
+    held, _ = toxicity.fit_weights(has, toxic, other, 2)
+    assert free[0] > 2 and abs(held[0]) < 0.2 * free[0]
 
 
 def test_line_dedup(spark):
@@ -485,6 +506,40 @@ def test_secret_scan(spark):
     assert digest[0].base_sha256 == hashlib.sha256(b"").hexdigest() and digest[7].n_hex == 1
 
 
+def _secret(rng):
+    kind = rng.randrange(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    if kind == 0:
+        return "".join(rng.choice(letters + "0123456789") for _ in range(rng.randrange(16, 40)))
+    if kind == 1:
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(14, 24)))
+    return "sk_live_" + "".join(rng.choice(letters + "0123456789") for _ in range(24))
+
+
+def test_tagged_secrets_beyond_the_base_rules(spark):
+    """Planted secrets that no base rule finds, in documents that the model was not trained on."""
+    rng = random.Random(41)
+    train = spark.createDataFrame([(k, f"{_text(rng, 40)} {rng.choice(('password', 'api_key', 'secret', 'token'))} = {_secret(rng)} {_text(rng, 40)} 2024-01-{k % 28 + 1:02d} version 1.{k}.2 http://www.site{k}.org/page{k}") for k in range(120)], "doc_id long, text string")
+    model = secrets.train(train)
+    texts, want = [], []
+    for _ in range(100):
+        lead = f"{_text(rng, 30)} {rng.choice(('password', 'passphrase', 'secret', 'token', 'Bearer', 'auth key', 'credential'))} {rng.choice(('', 'is '))}"
+        secret = _secret(rng)
+        texts.append(f"{lead}{secret} {_text(rng, 30)}")
+        want.append((len(lead), len(lead) + len(secret)))
+    plain = [f"{_text(rng, 30)} the token protocols 2023-05-0{k % 9 + 1} call 0151-{10000 + k} see https://x{k}.org/item{k} secret gardeners {_text(rng, 30)}" for k in range(100)]
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "crf"] for r in secrets.scan_secrets(_docs(spark, texts + plain), model=model).collect()}
+    assert not any(secrets.base_spans(np.frombuffer(t.encode(), np.uint8)) for t in texts + plain)
+    hits = sum(w in found[k] for k, w in enumerate(want))
+    false = sum(len(found[k]) for k in range(100, 200)) + sum(len(found[k]) > 1 for k in range(100))
+    print("tagged secrets found", hits, "of 100, false", false)
+    assert hits >= 90 and false <= 5
+    odd = _docs(spark, [None, "", texts[0], texts[0]]).withColumn("_id", F.lit(1)).withColumn("spans", F.lit("x"))
+    assert [len(r.spans) for r in secrets.scan_secrets(odd, model=model).orderBy("doc_id").collect()] == [0, 0, 1, 1]
+    long = _docs(spark, [_text(rng, 40000) + " " + texts[0]])
+    assert [len(r.spans) for r in secrets.scan_secrets(long, model=model).collect()] == [1] and secrets.secret_digest(long.limit(0)).count() == 0
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
@@ -492,6 +547,7 @@ def test_viterbi_equals_brute_force():
     model = secrets.CRF(rng.normal(size=(secrets.N_FEATURES, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
     for n in (1, 2, 5):
         x = rng.normal(size=(n, secrets.N_FEATURES))
+        x[:, 0] = 1
         e = x @ model.emit
         score = lambda p: model.start[p[0]] + sum(e[k, t] for k, t in enumerate(p)) + sum(model.move[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
         assert tuple(model.decode(x)) == max(product(range(3), repeat=n), key=score)
