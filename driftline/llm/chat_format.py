@@ -35,9 +35,9 @@ class Template:
     other: Turn = Turn("<<ROLE {role}>>", "<</ROLE>>", False, ())
 
     def controls(self) -> str:
-        """The characters that start control strings."""
+        """The characters that start control strings: the first that is not blank, or the first blank of a blank string."""
         parts = [p for t in (*self.roles.values(), self.other) for p in (t.before, t.after)]
-        return "".join(sorted({p.strip()[0] for p in parts}))
+        return "".join(sorted({p.strip()[0] if p.strip() else p[0] for p in parts if p}))
 
 
 DEFAULT = Template(
@@ -87,7 +87,8 @@ def format_chat(conversations: DataFrame, template: Template = DEFAULT) -> DataF
 
     ``valid`` tells whether the role may stand at this place; turns out of order are formatted all the same. Null texts and
     roles are empty. Turns with equal numbers are ordered by role and text; null turns come first; a null conversation id is
-    one conversation. Other columns are ignored.
+    one conversation. Repeated rows are turns of their own, texts of any length are read whole, other columns are ignored. An empty
+    table gives an empty table.
     """
     own = conversations.select("conv_id", "turn", "role", "text")
     types = {f.name: f.dataType.simpleString() for f in own.schema}
@@ -162,7 +163,11 @@ def _digest(template: Template):
 
 
 def read_chat(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """Per conversation, from the segments alone: turns read back, their digest, and the text under the loss mask."""
+    """Per conversation, from the segments alone: turns read back, their digest, and the text under the loss mask.
+
+    Takes what ``format_chat`` gives: segments are never null, a null conversation id is one conversation. Segments that cannot
+    be read back raise an error. An empty table gives an empty table.
+    """
     kind = segments.schema["conv_id"].dataType.simpleString()
     ordered = segments.select("conv_id", "seq", "segment", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.mapInArrow(_digest(template), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

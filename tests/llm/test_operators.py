@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and odd rows: nulls, blanks, long texts, repeated rows, empty tables."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -396,9 +397,45 @@ def test_warc_round_trip(spark, tmp_path):
         assert out[page].record_type == ("revisit" if first else "response")
     bodies = {r.record_id: r.payload for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     assert bodies["1"] == same and bodies["3"] == "" and len(bodies) == 7
+    parts = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")]
+    heads = [h.decode().split("\r\n") for data in parts for h in re.findall(rb"WARC/1\.1\r\nWARC-Type.*?\r\n\r\n", data, re.S)]
+    must = ("WARC-Type: ", "WARC-Record-ID: <urn:", "WARC-Date: 20", "Content-Length: ")
+    assert len(heads) == 7 and all(any(line.startswith(m) for line in h) for h in heads for m in must)
     assert warc.archive_roundtrip(pages.limit(0)).count() == 0
 
 
+def test_warc_odd_pages(spark, tmp_path):
+    rng = random.Random(51)
+    long = _text(rng, 60000)
+    rows = [("a\r\nb c/ü", "u", "x" * 100), ("z", "", "x" * 100), (None, "n", "y" * 100), ("m", "m", "y" * 100), ("m", "m", "y" * 100), ("big", "b", long), ("big2", "b", long), ("e", None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumns({c: F.lit("clash") for c in ("id", "key", "same", "digest", "n_bytes")})
+    out = sorted((r.page_id or "", r.record_type, r.refers_to or "", r.payload_bytes) for r in warc.archive_roundtrip(pages, path=str(tmp_path / "w")).collect())
+    n = len(long.encode())
+    assert out == sorted([("a\r\nb c/ü", "response", "", 100), ("z", "revisit", "a\r\nb c/ü", 100), ("", "revisit", "m", 100), ("m", "response", "", 100), ("m", "response", "", 100), ("big", "response", "", n), ("big2", "revisit", "big", n), ("e", "response", "", 0), ("", "response", "", 0)])
+    assert warc.archive_roundtrip(pages.limit(0)).count() == 0
+
+
+def test_warc_reader_of_many_members(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 100)
+    record = lambda k: b"WARC/1.1\r\nWARC-Record-ID: <urn:record:%d>\r\nContent-Length: %d\r\n\r\n" % (k, 300 * k) + b"x" * (300 * k) + b"\r\n\r\n"
+    data, got = warc._Inflated(b"".join(gzip.compress(record(k)) for k in range(4))), []
+    while head := data.head():
+        got.append((head["WARC-Record-ID"], len(data.take(int(head["Content-Length"]) + 4))))
+    assert got == [(f"<urn:record:{k}>", 300 * k + 4) for k in range(4)]
+    broken = warc._Inflated(gzip.compress(record(2)[:-100]))
+    head = broken.head()
+    with pytest.raises(ValueError):
+        broken.take(int(head["Content-Length"]))
+
+
+def test_chat_template_of_blanks(spark):
+    Turn = chat_format.Turn
+    template = chat_format.Template(roles={"user": Turn("> ", "\n", False, ("assistant",)), "assistant": Turn("", "\n\n", True, ("user",))}, first=("user",))
+    told = spark.createDataFrame([(1, 0, "user", "a\nb > c\\"), (1, 1, "assistant", "x\n\ny\n"), (1, 2, "user", "")], "conv_id long, turn int, role string, text string")
+    (row,) = chat_format.read_chat(chat_format.format_chat(told, template), template).collect()
+    assert row.loss_sha256 == hashlib.sha256(b"x\n\ny\n").hexdigest() and row.n_turns == 3
+
+
 def test_decontamination_recall(spark):
     rng = random.Random(8)
     items = [_text(rng, n) for n in (8, 15, 22, 30, 45, 60, 90) for _ in range(6)]
