@@ -139,3 +139,24 @@ def growth(now, then) -> Column:
 def region_in(country, region, want_country, want_region=None) -> Column:
     """A region, if given, overrides the country."""
     return _c(region) == want_region if want_region is not None else _c(country) == want_country
+
+
+def growth_label(now, then) -> Column:
+    """``same`` under 0.05 % of change, ``times`` from a factor of 10 on, else ``up`` or ``down``; null without a ratio."""
+    ratio = growth(now, then)
+    return F.when(F.abs(ratio - 1) < 0.0005, "same").when(ratio >= 10, "times").when(ratio > 1, "up").when(ratio.isNotNull(), "down")
+
+
+def in_gap(day, year: int = 2019) -> Column:
+    """Whether a day lies in the year of the collection gap."""
+    return F.year(_c(day)) == year
+
+
+def in_categories(packed, ever_active, mask: int) -> Column:
+    """Whether a zone's category is one of those in the bit mask."""
+    return category_bit(packed, ever_active).bitwiseAND(F.lit(mask)) != 0
+
+
+def identity_label(label, known) -> Column:
+    """A label, or what stands for one that an existing zone lacks; null where no zone is known."""
+    return F.when(known, F.coalesce(_c(label), F.lit("Region not identified")))

@@ -92,3 +92,22 @@ def tile_totals(tiles: DataFrame, scope: DataFrame, rows: str = "n_zones") -> Da
     """One row if the rows of all tiles do not add up to the scope's."""
     both = tiles.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("in_tiles")).join(F.broadcast(scope.agg(F.count("*").alias("in_scope"))))
     return both.where("in_tiles <> in_scope")
+
+
+def coverage_against_evidence(manifest: DataFrame, effects: DataFrame) -> DataFrame:
+    """Incidents whose coverage flag differs from whether any event of a board zone lies in their run."""
+    seen = effects.where("on_the_board AND n_events > 0").select("flashpoint_id").distinct().withColumn("seen", F.lit(True))
+    both = manifest.join(seen, "flashpoint_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return both.where(~F.col("changelog_covered").eqNullSafe(F.col("seen"))).select("flashpoint_id", "changelog_covered", "seen")
+
+
+def groups_partition_circle(members: DataFrame) -> DataFrame:
+    """Zones that are in a circle more than once, or in no group of it."""
+    found = members.groupBy("flashpoint_id", "zone_id").agg(F.count("*").alias("n"), F.count("on_the_board").alias("n_grouped"))
+    return found.where("n <> 1 OR n_grouped <> n")
+
+
+def unlabelled_regions(zones: DataFrame) -> DataFrame:
+    """Region ids without a label, or with several."""
+    found = zones.where("region_id IS NOT NULL").groupBy("region_id").agg(F.count("*").alias("n_zones"), F.count_distinct("region_name").alias("n_labels"))
+    return found.where("n_labels <> 1")

@@ -14,11 +14,12 @@ def resolve(flashpoints: DataFrame, dim: DataFrame) -> DataFrame:
     return flashpoints.join(dim.select(F.col("zone_id").alias("anchor_zone_id"), "latitude", "longitude"), "anchor_zone_id")
 
 
-def flashpoint_zone(resolved: DataFrame, battles: DataFrame, dim: DataFrame, max_radius_km: float = 100.0) -> DataFrame:
-    """(flashpoint, zone, km, on_the_board): the zones of each circle, marked if they reported in the board window."""
+def flashpoint_zone(resolved: DataFrame, battles: DataFrame, dim: DataFrame) -> DataFrame:
+    """(flashpoint, zone, km, on_the_board): the zones of each circle, of any radius, marked if they reported in the board window."""
     a = dim.select("zone_id", F.col("latitude").alias("llat"), F.col("longitude").alias("llon"))
     b = resolved.select("flashpoint_id", "radius_km", F.col("latitude").alias("rlat"), F.col("longitude").alias("rlon"))
-    circle = near_pairs(a, b, max_radius_km).where("km <= radius_km").select("flashpoint_id", "zone_id", "km")
+    widest = resolved.agg(F.max("radius_km")).first()[0] or 0.0
+    circle = near_pairs(a, b, widest).where("km <= radius_km").select("flashpoint_id", "zone_id", "km")
     window = resolved.select("flashpoint_id", "board_start", "board_end")
     board = circle.select("flashpoint_id", "zone_id").join(window, "flashpoint_id").join(battles.select("zone_id", "report_date"), "zone_id")
     board = board.where(F.col("report_date").between(F.col("board_start"), F.col("board_end"))).select("flashpoint_id", "zone_id").distinct().withColumn("b", F.lit(True))

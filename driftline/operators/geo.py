@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import KM_PER_LAT, haversine_km, tile_of
+from ..functions.scalars import KM_PER_LAT, haversine_km, tile_of, within_km
 from .graph import connected_components
 
 
@@ -66,18 +66,19 @@ def clusters(located: DataFrame, km: float = 48.28032) -> DataFrame:
     """
     points = located.select("report_date", "zone_id", "latitude", "longitude").where("latitude IS NOT NULL").distinct()
     node = F.struct("report_date", F.col("zone_id"))
-    edges = day_pairs(points).where(F.col("km") <= km).select(F.struct("report_date", F.col("a").alias("zone_id")).alias("a"), F.struct("report_date", F.col("b").alias("zone_id")).alias("b"))
+    ends = [points.select("report_date", F.col("zone_id").alias(n), F.col("latitude").alias(f"{side}lat"), F.col("longitude").alias(f"{side}lon")) for n, side in (("a", "l"), ("b", "r"))]
+    edges = near_pairs(*ends, km, ("report_date",)).where("a < b").select(F.struct("report_date", F.col("a").alias("zone_id")).alias("a"), F.struct("report_date", F.col("b").alias("zone_id")).alias("b"))
     found = connected_components(edges)
     out = points.withColumn("node", node).join(found, "node", "left")
     return out.select("report_date", "zone_id", F.coalesce("component.zone_id", "zone_id").alias("cluster"))
 
 
 def cluster_sizes(members: DataFrame, located: DataFrame) -> DataFrame:
-    """(report_date, cluster, n_zones, diameter); a single zone has diameter 0."""
-    pairs = day_pairs(located.select("report_date", "zone_id", "latitude", "longitude").distinct())
-    one = members.select("report_date", F.col("zone_id").alias("a"), F.col("cluster").alias("ca"))
-    two = members.select("report_date", F.col("zone_id").alias("b"), F.col("cluster").alias("cb"))
-    inside = pairs.join(one, ["report_date", "a"]).join(two, ["report_date", "b"]).where("ca = cb").groupBy("report_date", F.col("ca").alias("cluster")).agg(F.max("km").alias("d"))
+    """(report_date, cluster, n_zones, diameter); a single zone has diameter 0. Pairs are made inside clusters only."""
+    places = located.select("report_date", "zone_id", "latitude", "longitude").distinct()
+    own = members.join(places, ["report_date", "zone_id"])
+    one, two = (own.select("report_date", "cluster", F.col("zone_id").alias(n), F.col("latitude").alias(f"{n}lat"), F.col("longitude").alias(f"{n}lon")) for n in "ab")
+    inside = one.join(two, ["report_date", "cluster"]).where("a < b").groupBy("report_date", "cluster").agg(F.max(haversine_km("alat", "alon", "blat", "blon")).alias("d"))
     sizes = members.groupBy("report_date", "cluster").agg(F.count("*").alias("n_zones"))
     return sizes.join(inside, ["report_date", "cluster"], "left").select("report_date", "cluster", "n_zones", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("diameter"))
 
@@ -114,25 +115,27 @@ def explode_rings(features: DataFrame) -> DataFrame:
     return features.select("name", F.posexplode(each).alias("ring_no", "ring")).where(F.size("ring") >= 2)
 
 
-def _keep(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker with a stack; distances are to the segment, its ends included."""
-    keep = np.zeros(len(points), bool)
-    keep[[0, -1]] = True
-    work = [(0, len(points) - 1)]
-    while work:
-        lo, hi = work.pop()
-        if hi - lo < 2:
-            continue
-        a, b, mid = points[lo], points[hi], points[lo + 1 : hi]
-        d = b - a
-        size = float(d @ d)
-        t = np.clip((mid - a) @ d / size, 0, 1) if size else np.zeros(len(mid))
-        off = np.hypot(*(mid - (a + t[:, None] * d)).T)
-        far = int(off.argmax())
-        if off[far] > tolerance:
-            keep[lo + 1 + far] = True
-            work += [(lo, lo + 1 + far), (lo + 1 + far, hi)]
-    return keep
+def _corners(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """The places of the points that Douglas and Peucker's rule keeps.
+
+    All stretches between neighbouring corners are looked at together: each point is measured against the stretch that it lies
+    in, and the farthest of every stretch becomes a corner if it is off by more than ``tolerance``. That is repeated until no
+    stretch has such a point. A stretch that ends where it starts is a point.
+    """
+    corners = np.array([0, len(ring) - 1])
+    while True:
+        inner = np.delete(np.arange(len(ring)), corners)
+        stretch = np.searchsorted(corners, inner)
+        here, to = ring[corners[stretch - 1]], ring[corners[stretch]]
+        chord, away = to - here, ring[inner] - here
+        squared = np.einsum("pc,pc->p", chord, chord)
+        foot = np.einsum("pc,pc->p", away, chord) / np.where(squared > 0, squared, 1.0)
+        gap = np.linalg.norm(away - np.minimum(np.maximum(foot, 0.0), 1.0)[:, None] * chord, axis=1)
+        best = pd.DataFrame({"stretch": stretch, "gap": gap, "at": inner}).sort_values(["stretch", "gap", "at"], ascending=[True, False, True]).drop_duplicates("stretch")
+        more = best.loc[best["gap"] > tolerance, "at"].to_numpy()
+        if not len(more):
+            return corners
+        corners = np.union1d(corners, more)
 
 
 def simplify_paths(rings: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -142,7 +145,7 @@ def simplify_paths(rings: DataFrame, tolerance: float = 0.01) -> DataFrame:
     def simplified(column: pd.Series) -> pd.Series:
         def one(ring):
             points = np.array([list(p)[:2] for p in ring], float)
-            return points[_keep(points, tolerance)].tolist()
+            return points[_corners(points, tolerance)].tolist()
 
         return column.map(one)
 
@@ -182,3 +185,31 @@ def area_extent(zones: DataFrame, area: str) -> DataFrame:
     """The bounding box of each area's located zones; an area over the antimeridian gets the whole width."""
     sides = (F.min("longitude").alias("west"), F.min("latitude").alias("south"), F.max("longitude").alias("east"), F.max("latitude").alias("north"))
     return zones.where("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy(area).agg(*sides)
+
+
+def bounding_boxes(circles: DataFrame, lat: str = "latitude", lon: str = "longitude", km: str = "radius_km") -> DataFrame:
+    """``circles`` plus south, north, west and east of a box that holds each circle, with 5 % to spare.
+
+    A box over the antimeridian has west > east; one over a pole, or as wide as the globe, runs from -180 to 180.
+    """
+    up = F.col(km) * 1.05 / 111.32
+    far = F.least(F.abs(F.col(lat)) + up, F.lit(89.9))
+    side = F.least(up / F.cos(F.radians(far)), F.lit(180.0))
+    wrap = lambda x: F.when(x < -180, x + 360).when(x > 180, x - 360).otherwise(x)
+    whole = side >= 180
+    return circles.withColumns({
+        "south": F.greatest(F.col(lat) - up, F.lit(-90.0)), "north": F.least(F.col(lat) + up, F.lit(90.0)),
+        "west": F.when(whole, -180.0).otherwise(wrap(F.col(lon) - side)), "east": F.when(whole, 180.0).otherwise(wrap(F.col(lon) + side)),
+    })
+
+
+def scope(dim: DataFrame, kind: str = "all", circle: tuple[float, float, float] | None = None, events: DataFrame | None = None) -> DataFrame:
+    """The located zones of a scope: ``all``, those of a ``circle`` (latitude, longitude, km), or the ``active`` ones with an event."""
+    placed = dim.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    if kind == "all":
+        return placed
+    if kind == "circle":
+        return placed.where(within_km("latitude", "longitude", *circle))
+    if kind == "active":
+        return placed.join(events.select("zone_id").distinct(), "zone_id", "left_semi")
+    raise ValueError(f"unknown scope: {kind}")

@@ -105,3 +105,22 @@ def map_rows(zones: DataFrame, events: DataFrame) -> DataFrame:
     placed = zones.where("latitude IS NOT NULL AND longitude IS NOT NULL")
     places = placed.select("zone_id", quantize("latitude").alias("lat_e4"), quantize("longitude").alias("lon_e4"))
     return places.join(paint(placed, events), "zone_id")
+
+
+def states_at(display: DataFrame, days: DataFrame, day: str = "day") -> DataFrame:
+    """(day, zone_id, packed) for each of ``days``: the last packed state of every zone by its end; zones without one are left out.
+
+    Each state holds from its day until the next one's eve, so a day's rows are found by one range join with the short list of days.
+    """
+    w = Window.partitionBy("zone_id").orderBy("activity_date")
+    spans = display.select("zone_id", "packed", F.col("activity_date").alias("since"), F.lead("activity_date").over(w).alias("until"))
+    wanted = F.broadcast(days.select(day).distinct())
+    both = spans.join(wanted, (F.col(day) >= F.col("since")) & (F.col("until").isNull() | (F.col(day) < F.col("until"))))
+    return both.select(day, "zone_id", "packed")
+
+
+def breakdown_rest(zones: DataFrame, state: DataFrame, top: int = 10) -> DataFrame:
+    """Per country, what ``region_breakdown`` leaves out: regions beyond ``top`` with their zones, and regions where nothing is held."""
+    every = region_breakdown(zones, state, 1 << 30)
+    rest = F.col("place") > top
+    return every.groupBy("country_id").agg(F.count_if(rest).alias("n_rest"), F.coalesce(F.sum(F.when(rest, F.col("n_zones"))), F.lit(0)).alias("rest_zones"), F.count_if(F.col("n_held") == 0).alias("n_quiet"))

@@ -94,7 +94,8 @@ def extract_links(pages: DataFrame, pattern: str = r'href="/([^"]*)"') -> DataFr
 
 def name_blocks(named: DataFrame, size: int = 64) -> DataFrame:
     """Names by block of ``size`` indexes, placed by index; gaps are empty strings."""
-    spine = named.agg(F.max("idx").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long"))).alias("idx"))
+    last = named.agg(F.max("idx")).first()[0]
+    spine = named.sparkSession.range(0 if last is None else last + 1).withColumnRenamed("id", "idx")
     rows = spine.join(named, "idx", "left").select((F.floor(F.col("idx") / size)).cast("int").alias("block"), "idx", F.coalesce("name", F.lit("")).alias("name"))
     return rows.groupBy("block").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"])).alias("names"))
 

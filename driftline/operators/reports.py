@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 LAUNCHES = ("launch_1", "launch_2", "launch_3")
 
 
@@ -25,8 +27,11 @@ def maz_stats(battles: DataFrame) -> DataFrame:
 def summarize(df: DataFrame, col: str) -> DataFrame:
     """Count, extremes, mean and the quantiles at index floor(p * n), n - 1 at most; zeros when empty."""
     rows = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    # Distinct values and their ranks: the window is over one row per value.
-    ranked = rows.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    # Distinct values in ranges: a running count inside each range, over the counts of the ranges before it.
+    ranges = materialize(rows.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranges")
+    before = ranges.groupBy("part").agg(F.sum("c").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranges.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("upto", F.col("inside") + F.col("before"))
     n = rows.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v")))
     zero = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
@@ -93,7 +98,7 @@ def appearances(reports: DataFrame, key: str = "zone_id") -> DataFrame:
     return reports.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def report_days(reports: DataFrame, k: int = 3) -> DataFrame:
+def report_days(reports: DataFrame, k: int = 10) -> DataFrame:
     per = reports.groupBy("report_date").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("n_days"), F.count_if(F.col("n") == k).alias("n_full"), F.min("n").alias("least"), F.max("n").alias("most"))
 
@@ -136,3 +141,23 @@ def per_player(stats: DataFrame, col: str = "launches") -> DataFrame:
 def count_equal(df: DataFrame, col: str, value) -> DataFrame:
     """How many rows have ``value`` in ``col``, of how many; nulls never do."""
     return df.agg(F.count_if(F.col(col) == value).alias("n_equal"), F.count("*").alias("n"))
+
+
+def appearance_summary(reports: DataFrame, key: str = "zone_id") -> DataFrame:
+    """Keys in all, the share of those that appear once, and the key that appears most (ties: the smallest)."""
+    per = appearances(reports, key)
+    once = F.round(F.count_if(F.col("n") == 1) / F.count("*"), 6)
+    return per.agg(F.count("*").alias("n_keys"), once.alias("share_once"), F.min_by(key, F.struct(-F.col("n"), key)).alias("leader"), F.max("n").alias("leader_n"))
+
+
+def dropped_days(daily: DataFrame, start: str, end: str, day: str = "report_date") -> DataFrame:
+    """How many days a known-bad window, ends included, drops from ``daily``, and how many stay."""
+    bad = F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return daily.select(day).distinct().agg(F.count_if(bad).alias("n_dropped"), F.count_if(~bad).alias("n_kept"))
+
+
+def clusterless_share(sizes: DataFrame, least: int = 4) -> DataFrame:
+    """Days in all, days without a cluster of ``least`` zones, and their share."""
+    per = sizes.groupBy("report_date").agg(F.max("n_zones").alias("most"))
+    out = per.agg(F.count("*").alias("n_days"), F.count_if(F.col("most") < least).alias("n_without"))
+    return out.withColumn("share", F.round(F.col("n_without") / F.col("n_days"), 6))

@@ -43,7 +43,7 @@ _CTES = {
     "lines": ("", "SELECT l_orderkey, CAST(sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS a, CAST(sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS n, CAST(sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS r FROM lineitem GROUP BY 1"),
     "rep": ("lines", """SELECT *, zone_id < 0 AS is_tournament FROM (SELECT o_orderkey AS report_id, CASE WHEN o_custkey % 31 = 0 THEN -o_custkey ELSE o_custkey END AS zone_id, CAST(o_orderdate AS DATE) AS report_date,
         coalesce(a, 0) AS launch_1, coalesce(n, 0) AS launch_2, coalesce(r, 0) AS launch_3, coalesce(a, 0) + coalesce(n, 0) + coalesce(r, 0) AS launches, o_orderkey % 7 + 1 AS players FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey)
-        QUALIFY row_number() OVER (PARTITION BY report_date ORDER BY launches DESC, report_id) <= 3"""),
+        QUALIFY row_number() OVER (PARTITION BY report_date ORDER BY launches DESC, report_id) <= 10"""),
     "ba": ("rep dim", "SELECT rep.*, country_id, region_id, latitude, longitude FROM rep JOIN dim USING (zone_id) WHERE NOT is_tournament"),
     "ms": ("ba", "SELECT zone_id, report_date, max(launches) AS launches, max(players) AS players, max(launch_1) AS launch_1, max(launch_2) AS launch_2, max(launch_3) AS launch_3 FROM ba GROUP BY 1, 2"),
     "dt": ("ms", "SELECT report_date, CAST(sum(launches) AS BIGINT) AS total, count(*) AS n_reports, round(sum(launches) / count(*), 6) AS per_report FROM ms GROUP BY 1"),
@@ -130,7 +130,7 @@ ORACLE = {
     "fight_shape": _with("ms", f"SELECT count(*) AS n, count(*) FILTER (WHERE greatest(launch_1, launch_2, launch_3) = t) AS n_one_sided, count(*) FILTER (WHERE least(launch_1, launch_2, launch_3) > 0) AS n_three_way, round(avg(greatest(launch_1, launch_2, launch_3) / t), 6) AS mean_dominance FROM (SELECT *, launch_1 + launch_2 + launch_3 AS t FROM ms WHERE NOT {_BAD}) WHERE t > 0"),
     "streaks": _with("ac", "SELECT zone_id, max(n) AS longest FROM (SELECT zone_id, g, count(*) AS n FROM (SELECT zone_id, day - CAST(row_number() OVER (PARTITION BY zone_id ORDER BY day) AS INTEGER) AS g FROM ac) GROUP BY 1, 2) GROUP BY 1"),
     "appearances": _with("ba", "SELECT zone_id, count(DISTINCT report_date) AS n FROM ba GROUP BY 1"),
-    "report_days": _with("rep", "SELECT count(*) AS n_days, count(*) FILTER (WHERE n = 3) AS n_full, min(n) AS least, max(n) AS most FROM (SELECT report_date, count(*) AS n FROM rep GROUP BY 1)"),
+    "report_days": _with("rep", "SELECT count(*) AS n_days, count(*) FILTER (WHERE n = 10) AS n_full, min(n) AS least, max(n) AS most FROM (SELECT report_date, count(*) AS n FROM rep GROUP BY 1)"),
     "trailing_mean": _with("dt", "SELECT report_date, round(m, 6) AS mean FROM (SELECT report_date, avg(total) OVER (ORDER BY report_date ROWS 29 PRECEDING) AS m, row_number() OVER (ORDER BY report_date) AS k, count(*) OVER () AS c FROM dt) WHERE k >= 30 AND c > 30"),
     "smoothed_shares": _with("fd", "SELECT report_date, round(a / (a + b + c), 6) AS share_1, round(b / (a + b + c), 6) AS share_2, round(c / (a + b + c), 6) AS share_3 FROM (SELECT report_date, avg(share_1) OVER w AS a, avg(share_2) OVER w AS b, avg(share_3) OVER w AS c FROM fd WINDOW w AS (ORDER BY report_date ROWS 29 PRECEDING))"),
     "flashpoint_zone": _with("fz", "SELECT * FROM fz"),
@@ -151,13 +151,13 @@ ORACLE = {
     "stable_index": _with("dim", "SELECT row_number() OVER (ORDER BY g, zone_id) - 1 AS idx, zone_id FROM (SELECT zone_id, CASE WHEN zone_id % 3 = 0 THEN 0 ELSE 1 END AS g FROM dim UNION ALL SELECT unnest(range(900000001, 900000004)), 0)"),
     "merge_events": _with("cl", "SELECT CAST(year(observed_at) AS INTEGER) AS year, count(*) AS n, CAST(sum(legion) AS BIGINT) AS legion FROM cl GROUP BY 1"),
     "upsert_latest": _with("cl", "SELECT zone_id, observed_at, control_state, legion, swarm, faceless FROM cl QUALIFY row_number() OVER (PARTITION BY zone_id ORDER BY observed_at DESC) = 1"),
-    "plan_days": _with("sp", "SELECT CAST(unnest(generate_series(max(activity_date), DATE '2001-05-19', INTERVAL 1 DAY)) AS DATE) AS activity_date FROM sp WHERE activity_date <= DATE '2001-05-01'"),
-    "plan_targets": _with("rep", "SELECT n FROM (SELECT report_id AS n FROM rep WHERE report_id % 4 = 0 UNION SELECT unnest(range((SELECT greatest(100, coalesce(max(report_id), 0)) FROM rep WHERE report_id % 4 = 1 AND report_id < 200) + 1, (SELECT max(report_id) FROM rep WHERE report_id % 4 = 0) + 1))) WHERE n NOT IN (SELECT report_id FROM rep WHERE report_id % 4 = 1 AND report_id < 200) ORDER BY n LIMIT 40"),
+    "plan_days": _with("sp", "SELECT CAST(unnest(generate_series(max(activity_date), DATE '2001-08-19', INTERVAL 1 DAY)) AS DATE) AS activity_date FROM sp"),
+    "plan_targets": _with("rep ba", "SELECT n FROM (SELECT report_id AS n FROM rep UNION SELECT unnest(range((SELECT greatest(100, coalesce(max(report_id), 0)) FROM ba) + 1, (SELECT max(report_id) FROM rep) + 1))) WHERE n NOT IN (SELECT report_id FROM ba) ORDER BY n LIMIT 40"),
     "links": """SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS link FROM pages""",
     "delta_roundtrip": _with("sp", "SELECT zone_id, observed_at, legion_delta AS delta, legion AS level FROM sp"),
     "export_manifest": _with("sp dim", """SELECT (SELECT count(*) FROM dim) AS n_zones, min(activity_date) AS first_day, max(activity_date) AS last_day, count(*) AS n_events, count(DISTINCT zone_id) AS n_ever_active,
         CAST(sum(legion_delta) AS BIGINT) AS legion, CAST(sum(swarm_delta) AS BIGINT) AS swarm, CAST(sum(faceless_delta) AS BIGINT) AS faceless, (SELECT count(*) FROM (SELECT arg_max(total, observed_at) AS t FROM sp GROUP BY zone_id) WHERE t > 0) AS n_held FROM sp"""),
-    "name_blocks": _with("dim", """SELECT CAST(i // 64 AS INTEGER) AS block, CAST(to_json(list(coalesce(zone_name, '') ORDER BY i)) AS VARCHAR) AS names FROM (SELECT unnest(range(0, (SELECT max(zone_id) FROM dim WHERE zone_id % 5 <> 0) + 1)) AS i) LEFT JOIN dim ON zone_id = i AND zone_id % 5 <> 0 GROUP BY 1"""),
+    "name_blocks": _with("dim", """SELECT CAST(i // 64 AS INTEGER) AS block, CAST(to_json(list(coalesce(zone_name, '') ORDER BY i)) AS VARCHAR) AS names FROM (SELECT unnest(range(0, (SELECT max(zone_id) FROM dim) + 1)) AS i) LEFT JOIN dim ON zone_id = i GROUP BY 1"""),
     "sparse_series": _with("gd sp", "SELECT activity_date, legion, swarm, faceless FROM gd WHERE activity_date >= DATE '1995-07-01' AND activity_date IN (SELECT activity_date FROM sp GROUP BY 1 HAVING sum(legion_delta) <> 0 OR sum(swarm_delta) <> 0 OR sum(faceless_delta) <> 0)"),
     "net_since": _with("gd", f"SELECT a.activity_date AS first_day, b.activity_date AS last_day, b.legion + b.swarm + b.faceless - a.legion - a.swarm - a.faceless AS net FROM gd a, gd b WHERE a.activity_date = {_S} AND b.activity_date = {_D}"),
     "series_for_cells": _with("ev", """SELECT d.activity_date, CAST(sum(coalesce(l, 0)) OVER w AS BIGINT) AS legion, CAST(sum(coalesce(s, 0)) OVER w AS BIGINT) AS swarm, CAST(sum(coalesce(f, 0)) OVER w AS BIGINT) AS faceless

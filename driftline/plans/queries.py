@@ -12,6 +12,7 @@ from ..functions.scalars import cell_of
 from ..operators import checks, flashpoints, geo, history, keys, lookups, reports, series, spine
 from ..sources import adapters as A
 from ..sources import pages as P
+from . import views
 
 DAY, START, PLACE = "1998-06-15", "1998-01-01", (51.0, 1.5, 25.0)
 BAD = ("1997-07-01", "1997-09-11")
@@ -76,7 +77,7 @@ def _merge(m: Model) -> DataFrame:
 
 
 def _name_blocks(m: Model) -> DataFrame:
-    named = m.dim.where("zone_id % 5 <> 0").select(F.col("zone_id").alias("idx"), F.col("zone_name").alias("name"))
+    named = m.dim.select(F.col("zone_id").alias("idx"), F.col("zone_name").alias("name"))
     return keys.name_blocks(named)
 
 
@@ -87,13 +88,12 @@ def _delta(m: Model) -> DataFrame:
 
 
 def _targets(m: Model) -> DataFrame:
-    numbers = m.reports.select(F.col("report_id").alias("n"))
-    return keys.plan_targets(numbers.where("n % 4 = 0"), numbers.where("n % 4 = 1 AND n < 200"), 100)
+    numbers = lambda df: df.select(F.col("report_id").alias("n")).distinct()
+    return keys.plan_targets(numbers(m.reports), numbers(m.battles), 100)
 
 
 def _plan_days(m: Model) -> DataFrame:
-    newest = m.spine.where("activity_date <= DATE'2001-05-01'")
-    return keys.plan_days(newest, "2001-05-20")
+    return keys.plan_days(m.spine, "2001-08-20")
 
 
 def _cells(m: Model) -> DataFrame:
@@ -281,4 +281,4 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "check_widths": lambda m: checks.fits(m.stats, {"launches": "uint8", "players": "uint8", "launch_1": "int16"}),
 }
 
-QUERIES = {name: _q(build) for name, build in _BUILD.items()}
+QUERIES = {name: _q(build) for name, build in (_BUILD | views.BUILD).items()}

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import views
 from .plans.oracles import ORACLE
 from .plans.queries import QUERIES
 
@@ -48,4 +49,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE
+    return ORACLE | views.ORACLE

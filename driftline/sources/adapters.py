@@ -64,7 +64,7 @@ def flashpoints(spark: SparkSession) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("date") for c in ("board_start", "board_end", "run_start", "run_end")})
 
 
-def reports(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+def reports(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Leaderboard reports: orders with their lines split by return flag, the top ``k`` of each day."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0)).cast("long").alias(n) for f, n in (("A", "launch_1"), ("N", "launch_2"), ("R", "launch_3"))))
     both = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill(0, ["launch_1", "launch_2", "launch_3"])

@@ -24,17 +24,42 @@ def merge_stream(changes: DataFrame, root: str, checkpoint: str, ts: str = "obse
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def state_stream(changes: DataFrame, root: str, checkpoint: str, ts: str = "observed_at") -> StreamingQuery:
-    """Keep the newest row per zone under ``root``, a version per batch; a late row never rolls a zone back."""
+BUCKETS = 64
+
+
+def state_stream(changes: DataFrame, root: str, checkpoint: str, ts: str = "observed_at", key: str = "zone_id") -> StreamingQuery:
+    """Keep the newest row per key under ``root``; a late row never rolls a key back.
+
+    Keys lie in ``BUCKETS`` buckets. A batch reads and writes the buckets of its own keys only, as version ``n`` of them; what it does
+    is the same when it is run again. ``read_state`` takes the newest version of each bucket.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{root}/v{number - 1}") if number else batch.limit(0)
-        materialize(last_wins(old, batch, ["zone_id"], [ts]), "state").write.mode("overwrite").parquet(f"{root}/v{number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        old = _newest(spark, root, rows.schema, number).where(F.col("bucket").isin(touched))
+        merged = materialize(last_wins(old, rows, [key], [ts]), "state")
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={number}")
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The rows of the newest version of each bucket, of those before ``before`` if that is given."""
+    versions = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("version", T.IntegerType())]))
+    if before != 0:
+        versions = spark.read.schema(versions.schema).parquet(root)
+        versions = versions if before is None else versions.where(F.col("version") < before)
+    last = versions.groupBy("bucket").agg(F.max("version").alias("version"))
+    return versions.join(F.broadcast(last), ["bucket", "version"]).select(schema.names)
+
+
+def read_state(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The state that ``state_stream`` keeps: one row per key, with the columns of the changes."""
+    return _newest(spark, root, T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).drop("bucket")
+
+
 def deduplicated(changes: DataFrame, key: str = "zone_id", ts: str = "observed_at", delay: str = "1 day") -> DataFrame:
     return changes.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key, ts])
 

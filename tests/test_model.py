@@ -281,3 +281,72 @@ def test_tops_levels_and_extents(spark, changes):
     assert [tuple(r) for r in geo.area_extent(zones, "c").collect()] == [(9, 1.0, -89.0, 179.0, 51.0)]
     assert {(r.n_zones, r.n_played, r.south, r.west) for r in geo.tile_manifest(zones, changes).collect()} == {(1, 1, 38, -4), (1, 1, -90, 172)}
     assert {(r.zone_id, r.lat_e4, r.lon_e4, r.ever_active) for r in history.map_rows(zones, spine.event_spine(changes)).collect()} == {(1, 510000, 10000, True), (3, -890000, 1790000, True)}
+
+
+def test_corners_follow_the_rule():
+    import numpy as np
+
+    def slow(ring, lo, hi, tolerance):
+        """The rule by its definition, on one stretch."""
+        far, at = 0.0, None
+        for k in range(lo + 1, hi):
+            (ax, ay), (bx, by), (px, py) = ring[lo], ring[hi], ring[k]
+            size = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(1.0, max(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / size)) if size else 0.0
+            gap = ((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by - ay)) ** 2) ** 0.5
+            if gap > far:
+                far, at = gap, k
+        return slow(ring, lo, at, tolerance) | {at} | slow(ring, at, hi, tolerance) if at is not None and far > tolerance else set()
+
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 10, 200):
+        for tolerance in (0.0, 0.05, 0.5):
+            ring = rng.random((n, 2)).cumsum(0) % 2
+            ring[-1] = ring[0] if n > 3 else ring[-1]
+            assert set(geo._corners(ring, tolerance).tolist()) == {0, n - 1} | slow(ring, 0, n - 1, tolerance)
+
+
+def test_bounding_boxes(spark):
+    circles = spark.createDataFrame([("a", 0.0, 179.9, 50.0), ("b", 89.9, 0.0, 50.0), ("c", 10.0, 20.0, 111.32)], "id string, latitude double, longitude double, radius_km double")
+    box = {r.id: r for r in geo.bounding_boxes(circles).collect()}
+    assert box["a"].west > 179 and box["a"].east < -179 and box["a"].west > box["a"].east
+    assert (box["b"].west, box["b"].east, box["b"].north) == (-180.0, 180.0, 90.0)
+    assert abs(box["c"].south - 8.95) < 1e-9 and 1.05 < box["c"].east - 20 < 1.08
+
+
+def test_checks_find_planted_violations(spark):
+    frame = spark.createDataFrame
+    effects = frame([("a", True, 3), ("b", False, 2)], "flashpoint_id string, on_the_board boolean, n_events int")
+    manifest = frame([("a", False), ("b", False), ("c", True)], "flashpoint_id string, changelog_covered boolean")
+    assert {r.flashpoint_id for r in checks.coverage_against_evidence(manifest, effects).collect()} == {"a", "c"}
+    members = frame([("a", 1, True), ("a", 1, False), ("a", 2, None), ("b", 1, True)], "flashpoint_id string, zone_id int, on_the_board boolean")
+    assert {(r.flashpoint_id, r.zone_id) for r in checks.groups_partition_circle(members).collect()} == {("a", 1), ("a", 2)}
+    zones = frame([(1, "x"), (1, "x"), (2, None), (3, "y"), (3, "z")], "region_id int, region_name string")
+    assert {r.region_id for r in checks.unlabelled_regions(zones).collect()} == {2, 3}
+    assert [r.k for r in checks.unique(frame([(1,), (1,), (2,)], "k int"), ["k"]).collect()] == [1]
+    daily = frame([("d", 1, -1, 0), ("e", 0, 0, 0)], "activity_date string, legion int, swarm int, faceless int")
+    assert [r.activity_date for r in checks.no_negative_totals(daily, daily.where("legion > 5")).collect()] == ["d"]
+
+
+def test_stream_state_keeps_the_newest(spark, tmp_path):
+    schema = "zone_id long, observed_at timestamp, v int"
+    first = spark.sql("SELECT id AS zone_id, timestamp'2020-01-02' AS observed_at, 1 AS v FROM range(200)")
+    late = spark.sql("SELECT id AS zone_id, timestamp'2020-01-01' AS observed_at, 2 AS v FROM range(5)")
+    new = spark.sql("SELECT id AS zone_id, timestamp'2020-01-03' AS observed_at, 3 AS v FROM range(3, 8)")
+    root = str(tmp_path / "state")
+    for k, part in enumerate((first, late, new)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        source = ingest.drops(spark, str(tmp_path / "in/*"), first.schema, 1)
+        ingest.state_stream(source, root, str(tmp_path / "c")).awaitTermination()
+    got = {r.zone_id: r.v for r in ingest.read_state(spark, root, first.schema).collect()}
+    assert got == {k: 3 if 3 <= k < 8 else 1 for k in range(200)}
+    assert len(list((tmp_path / "state/version=1").glob("bucket=*"))) <= 5
+
+
+def test_circles_of_any_radius(spark):
+    frame = spark.createDataFrame
+    dim = frame([(1, 50.0, 0.0), (2, 52.5, 0.0), (3, 60.0, 0.0)], "zone_id long, latitude double, longitude double")
+    wide = frame([("w", 50.0, 0.0, 400.0)], "flashpoint_id string, latitude double, longitude double, radius_km double").selectExpr("*", "date'2020-01-01' AS board_start", "date'2020-01-02' AS board_end")
+    battles = frame([(2,)], "zone_id long").selectExpr("*", "date'2020-01-01' AS report_date")
+    out = {r.zone_id: r.on_the_board for r in flashpoints.flashpoint_zone(wide, battles, dim).collect()}
+    assert out == {1: False, 2: True}
