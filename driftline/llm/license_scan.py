@@ -35,9 +35,12 @@ TEMPLATES = (
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def words_of(text: Column) -> Column:
-    """Runs of digits, letters and characters above 0x7F, lower-cased."""
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+    """Runs of digits, letters and characters above 0x7F; of these A-Z alone are lower-cased."""
+    return F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), SEPARATORS), "")
 
 
 def _places(words: Column, phrase: str) -> Column:

@@ -78,7 +78,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(min(root) AS BIGINT) AS com
 _LICENSES = r"""
 WITH templates(label, t) AS (VALUES {templates}),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
 places AS (
   SELECT doc_id, len(w) AS n_words,
     list_filter(range(0, len(w)), lambda i: w[i+1:i+4] = ['under', 'the', 'mit', 'license']) AS p1,
@@ -88,7 +88,7 @@ places AS (
   SELECT doc_id, n_words, list_concat(list_concat(p1, p2), p3) AS p,
     list_filter([CASE WHEN len(p1) > 0 THEN 'mit' END, CASE WHEN len(p2) > 0 THEN 'apache-2' END, CASE WHEN len(p3) > 0 THEN 'cc-by-nc' END], lambda x: x IS NOT NULL) AS base FROM places
 ), lines AS (
-  SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line FROM docs
+  SELECT doc_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS line FROM docs
 ), line_words AS (
   SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM lines
 ), matches AS (

@@ -123,6 +123,10 @@ def test_license_scan(spark):
     assert base(11) == (0, None, None, "") and rows[11].labels == "gpl-3" and 0.9 < rows[11].score <= 1
     assert rows[12].labels == "" and rows[13].n_base == 0 and rows[0].n_words == 0 and rows[6].n_words == 5
     assert license_scan.scan_licenses(_docs(spark, texts).limit(0)).count() == 0
+    long = _text(random.Random(2), 30000) + " UNDER THE MIT LICENSE"
+    more = _docs(spark, [long, "under the MİT license", None]).withColumns({c: F.lit("x") for c in ("id", "k", "words", "base", "m_id")})
+    rows = sorted(license_scan.scan_licenses(more.unionByName(more)).collect(), key=lambda r: r.doc_id)
+    assert len(rows) == 6 and [r.n_base for r in rows] == [1, 1, 0, 0, 0, 0] and rows[0].first_word == rows[1].last_word == 30000
 
 
 def test_license_notices_wrapped_over_lines(spark):
