@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cell_of
+from ..functions.scalars import cell_of, within_km
 from .spine import COUNTS
 
 DELTAS = tuple(f"{c}_delta" for c in COUNTS)
@@ -121,3 +121,28 @@ def densify_levels(levels: DataFrame, area: str, cols: tuple[str, ...] = COUNTS)
     w = Window.partitionBy(area).orderBy("activity_date").rowsBetween(Window.unboundedPreceding, 0)
     full = spine.join(levels, [area, "activity_date"], "left")
     return full.select(area, "activity_date", *(F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)).alias(c) for c in cols))
+
+
+def history(selection: dict, events: DataFrame, grains: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Running totals of a selection for every day of the record. The most specific part of ``selection`` wins: zone_id,
+    circle (latitude, longitude, km), box (west, south, east, north), region_id, country_id; without any, it is the world.
+
+    ``grains`` may hold written area series by area (cell, region_id, country_id); those are read in place of the events.
+    """
+    rules = {
+        "zone_id": (None, lambda v: F.col("zone_id") == v),
+        "circle": (None, lambda v: within_km("latitude", "longitude", *v)),
+        "box": ("cell", lambda v: cell_in_bounds(*v)),
+        "region_id": ("region_id", lambda v: F.col("region_id") == v),
+        "country_id": ("country_id", lambda v: F.col("country_id") == v),
+    }
+    part = next((p for p in rules if selection.get(p) is not None), None)
+    grain, rule = rules.get(part, (None, None))
+    rows = (grains or {}).get(grain)
+    if rows is None:
+        rows = events.withColumn("cell", cell_of("latitude", "longitude")) if grain == "cell" else events
+    picked = rows.where(rule(selection[part])) if part else rows
+    daily = picked.groupBy("activity_date").agg(*(F.sum(c).alias(c) for c in DELTAS))
+    running = Window.orderBy("activity_date").rowsBetween(Window.unboundedPreceding, 0)
+    full = calendar(events).join(daily, "activity_date", "left").na.fill(0, list(DELTAS))
+    return full.select("activity_date", *(F.sum(f"{c}_delta").over(running).alias(c) for c in COUNTS))

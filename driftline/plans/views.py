@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..operators import checks, flashpoints, geo, history, reports, series
+from ..operators import checks, flashpoints, geo, history, keys, reports, series
 from ..sources import adapters as A
+from ..sources import contracts, staging
 from ..streaming import ingest
+from . import warehouse
 from .oracles import ORACLE as _KNOWN
 from .oracles import _km, _with
-from .scratch import new_path
+from .scratch import materialize, new_path
 
 DAYS = ("1996-02-29", "1997-07-15", "1998-06-15", "2000-12-31")
 START, DAY, BAD = "1998-01-01", "1998-06-15", ("1997-07-01", "1997-09-11")
 VIEW = (0.5, 50.2, 2.5, 51.5)
 CIRCLE = (51.0, 1.5, 25.0)
+#: The most specific part of each wins: of the first, the zone; of the second, the circle.
+SELECTIONS = {
+    "zone": {"zone_id": 7, "country_id": 1},
+    "circle": {"circle": CIRCLE, "region_id": 7},
+    "box": {"box": (0.4, 50.3, 1.6, 51.2)},
+    "region": {"region_id": 7, "country_id": 1},
+    "country": {"country_id": 1},
+    "world": {},
+}
+SEEDS = "seed_id long, label string, day date, price double"
 
 
 def _day_functions(m) -> DataFrame:
@@ -82,7 +97,55 @@ def _stream_state(m) -> DataFrame:
     return ingest.read_state(m.spark, root, rows.schema).select("user_id", "event_id")
 
 
+def _stream_deltas(m) -> DataFrame:
+    """Deltas of each user's events by a stream that meets the odd events after the even ones, in a second run."""
+    rows = A.table(m.spark, m.sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("total"))
+    drop, out, checkpoint = (new_path(m.spark, f"stream_{kind}") for kind in ("drops", "deltas", "checkpoint"))
+    for odd in (0, 1):
+        rows.where(F.col("total") % 2 == odd).write.mode("append").parquet(drop)
+        given = ingest.corrected_deltas(ingest.drops(m.spark, drop, rows.schema, 1 << 20), "user_id", "ts", keep_days=36_500)
+        given.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return ingest.settled(m.spark.read.schema(given.schema).parquet(out), "user_id", "ts").select("user_id", F.col("total").alias("event_id"), "delta")
+
+
+def _histories(m) -> DataFrame:
+    events = m.events
+    grains = {area: materialize(series.area_series(events, area), area) for area in ("cell", "region_id", "country_id")}
+    found = [series.history(selection, events, grains).select(F.lit(name).alias("selection"), "*") for name, selection in SELECTIONS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _display_shards(m) -> DataFrame:
+    root = new_path(m.spark, "display")
+    display = m.display
+    index = keys.stable_index(m.spark.createDataFrame([], "idx long, zone_id long"), display.select("zone_id"))
+    warehouse.write_display(root, display, index, "1970-01-01")
+    return warehouse.read_display(m.spark, root, first=1997)
+
+
+def _seeds(m) -> DataFrame:
+    """Orders as curated rows, through a CSV file with labels that hold quotes and commas."""
+    path = new_path(m.spark, "seeds")
+    label = F.concat(F.lit('"'), "o_orderstatus", F.lit('", '), "o_orderpriority")
+    rows = A.table(m.spark, m.sf_dir, "orders").select(F.col("o_orderkey").alias("seed_id"), label.alias("label"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("price"))
+    rows.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    return contracts.read_seeds(m.spark, path, T.StructType.fromDDL(SEEDS))
+
+
+def _staged(m) -> DataFrame:
+    """Leaderboard reports under the source's names and back; columns that the given tables lack are null."""
+    held = {"battle_report_number": F.col("report_id"), "zone_id": F.col("zone_id").cast("string"), "battle_date": F.col("report_date"), "total_launches": F.col("launches"), "total_active_players": F.col("players")}
+    held |= {f"{f}_total_launches": F.col(f"launch_{k}") for k, f in enumerate(("legion", "swarm", "faceless"), 1)}
+    raw = m.reports.select(*(held.get(name, F.lit(None).cast("long")).alias(c) for c, name in staging.REPORTS.items()))
+    return staging.stage_reports(raw).select(*held, "is_tournament")
+
+
 BUILD = {
+    "stream_deltas": _stream_deltas,
+    "histories": _histories,
+    "display_shards": _display_shards,
+    "seeds": _seeds,
+    "staged_reports": _staged,
     "day_functions": _day_functions,
     "bucket_totals": lambda m: m.display.select(S.magnitude_of("packed").alias("bucket")).distinct().select("bucket", S.approx_total("bucket").alias("total")),
     "category_counts": _categories,
@@ -106,7 +169,25 @@ BUILD = {
 
 _sub = lambda name: f"({_KNOWN[name]})"
 
+_PICKED = {
+    "zone": "zone_id = 7",
+    "circle": f"{_km('51.0', '1.5', 'latitude', 'longitude')} <= 25.0",
+    "box": "floor(latitude) BETWEEN 50 AND 52 AND floor(longitude) BETWEEN 0 AND 2",
+    "region": "region_id = 7",
+    "country": "country_id = 1",
+    "world": "true",
+}
+_EACH = " UNION ALL ".join(f"SELECT '{name}' AS selection, * FROM ev WHERE {rule}" for name, rule in _PICKED.items())
+
 ORACLE = {
+    "stream_deltas": "SELECT user_id, event_id, event_id - lag(event_id, 1, 0) OVER (PARTITION BY user_id ORDER BY ts) AS delta FROM events",
+    "histories": _with("ev days", f"""SELECT selection, activity_date, CAST(sum(coalesce(l, 0)) OVER w AS BIGINT) AS legion, CAST(sum(coalesce(s, 0)) OVER w AS BIGINT) AS swarm, CAST(sum(coalesce(f, 0)) OVER w AS BIGINT) AS faceless
+        FROM days CROSS JOIN (SELECT unnest({list(_PICKED)}) AS selection) LEFT JOIN (SELECT selection, activity_date, sum(legion_delta) AS l, sum(swarm_delta) AS s, sum(faceless_delta) AS f FROM ({_EACH}) GROUP BY 1, 2) x USING (selection, activity_date)
+        WINDOW w AS (PARTITION BY selection ORDER BY activity_date)"""),
+    "display_shards": _with("dd", "SELECT * FROM (SELECT dense_rank() OVER (ORDER BY zone_id) - 1 AS idx, activity_date, packed FROM dd) WHERE year(activity_date) >= 1997"),
+    "seeds": "SELECT o_orderkey AS seed_id, '\"' || o_orderstatus || '\", ' || o_orderpriority AS label, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price FROM orders",
+    "staged_reports": _with("rep", """SELECT report_id AS battle_report_number, CAST(zone_id AS INTEGER) AS zone_id, report_date AS battle_date, launches AS total_launches, players AS total_active_players,
+        launch_1 AS legion_total_launches, launch_2 AS swarm_total_launches, launch_3 AS faceless_total_launches, is_tournament FROM rep"""),
     "day_functions": _with("sp", f"""SELECT DISTINCT activity_date, CAST(activity_date - DATE '{S.EPOCH}' AS INTEGER) AS day_no, activity_date AS back, greatest(lo, activity_date - 7) AS week_start, greatest(lo, activity_date - 365) AS year_start, lo AS all_start,
         CASE WHEN activity_date >= DATE '{START}' THEN 1609.3 ELSE 643.7 END::DOUBLE AS range_km, year(activity_date) = 1997 AS in_gap, CASE WHEN hi = DATE '2001-08-01' THEN hi - 1 ELSE hi END AS complete
         FROM sp, (SELECT min(activity_date) AS lo, max(activity_date) AS hi FROM sp)"""),

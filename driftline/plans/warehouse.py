@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import tile_of
+from ..functions.scalars import EPOCH, tile_of
+from ..operators.checks import require_fits
 from ..sources.contracts import write_sharded
 
 #: Entities of one block of histories.
@@ -45,3 +46,17 @@ def rebuild_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables by name, without the columns of the layout."""
     tables = {name: spark.read.parquet(f"{root}/{name}").drop(shard) for name, (shard, _) in LAYOUT.items()}
     return tables | {name: spark.read.parquet(f"{root}/{name}") for name in SMALL}
+
+
+def write_display(root: str, display: DataFrame, index: DataFrame, epoch: str = EPOCH) -> None:
+    """The packed history by year, in order of (idx, day); refused if an index, a packed state or a day does not fit."""
+    rows = display.join(index, "zone_id").select("idx", "activity_date", "packed", F.year("activity_date").alias("year"))
+    require_fits(rows, {"idx": "uint32", "packed": "uint8"}, ("activity_date",), epoch)
+    write_sharded(rows, root, "year", ["idx", "activity_date"])
+
+
+def read_display(spark: SparkSession, root: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(idx, activity_date, packed) of the years from ``first`` to ``last``; other years' files are not read."""
+    rows = spark.read.parquet(root)
+    rows = rows if first is None else rows.where(F.col("year") >= first)
+    return (rows if last is None else rows.where(F.col("year") <= last)).drop("year")

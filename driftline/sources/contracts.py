@@ -55,6 +55,13 @@ def ingest_lookups(spark: SparkSession, src: str, dst: str, contract: T.StructTy
     return spark.read.schema(contract).parquet(dst)
 
 
+def read_seeds(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:
+    """A curated CSV with a header: dates, numbers and quoted labels, in which a quote is doubled. Names in another order than the
+    contract's and values that do not parse are errors."""
+    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False, "quote": '"', "escape": '"', "dateFormat": "yyyy-MM-dd"}
+    return spark.read.options(**options).schema(contract).csv(path)
+
+
 def read_changelog_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Daily drops as change rows: rows without an event time are left out, one row per key."""
     rows = _drops(spark, paths).where("observed_at IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,3 +112,50 @@ def stateful_deltas(changes: DataFrame, key: str = "zone_id", ts: str = "observe
 
     rows = changes.select(F.col(key).cast("long"), F.col(ts).cast("timestamp"), F.col(col).cast("long"))
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {ts} timestamp, {col} long, delta long", "at long, last long", "append", "NoTimeout")
+
+
+def corrected_deltas(changes: DataFrame, key: str = "zone_id", ts: str = "observed_at", col: str = "total", keep_days: int = 31) -> DataFrame:
+    """Difference of ``col`` to the key's row before, with corrections: a late row also gives its successor's delta anew.
+
+    ``version`` counts what a key has given; of rows with one key and time the highest version counts (``settled``). A
+    row with a time that is known replaces that one. State holds the last ``keep_days`` before a key's newest row, and one row
+    more; a row from before all of these gets a null delta, as its predecessor is no longer known.
+    """
+    reach = keep_days * 86_400_000_000
+
+    def run(keys, frames, state):
+        import pandas as pd
+
+        times, levels, version, cut = state.get if state.exists else ([], [], 0, False)
+        times, levels, out = list(times), list(levels), []
+        for frame in frames:
+            for at, level in zip(frame[ts].astype("datetime64[us]").astype("int64"), frame[col]):
+                at, level = int(at), int(level)
+                i = bisect_left(times, at)
+                if i < len(times) and times[i] == at:
+                    levels[i] = level
+                elif i == 0 and cut:
+                    version += 1
+                    out.append((at, level, None, version))
+                    continue
+                else:
+                    times.insert(i, at)
+                    levels.insert(i, level)
+                # The oldest row kept after a cut only serves as a predecessor; its own delta stands.
+                for j in (i, i + 1):
+                    if j < len(times) and not (j == 0 and cut):
+                        version += 1
+                        out.append((times[j], levels[j], levels[j] - (levels[j - 1] if j else 0), version))
+        first = max(bisect_left(times, times[-1] - reach) - 1, 0) if times else 0
+        state.update((times[first:], levels[first:], version, cut or first > 0))
+        found = pd.DataFrame(out, columns=[ts, col, "delta", "version"])
+        yield pd.DataFrame({key: [keys[0]] * len(found), ts: pd.to_datetime(found[ts], unit="us"), col: found[col], "delta": found["delta"].astype("Int64"), "version": found["version"]})
+
+    rows = changes.select(F.col(key).cast("long"), F.col(ts).cast("timestamp"), F.col(col).cast("long"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {ts} timestamp, {col} long, delta long, version long", "times array<long>, levels array<long>, version long, cut boolean", "append", "NoTimeout")
+
+
+def settled(given: DataFrame, key: str = "zone_id", ts: str = "observed_at") -> DataFrame:
+    """What ``corrected_deltas`` has given, with the last version of each key and time."""
+    rest = [c for c in given.columns if c not in (key, ts, "version")]
+    return given.groupBy(key, ts).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(key, ts, "r.*")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
 from driftline.operators import checks, flashpoints, geo, history, keys, lookups, reports, series, spine
-from driftline.sources import contracts
-from driftline.streaming import ingest
+from driftline.plans import warehouse
+from driftline.sources import contracts, pages, staging
+from driftline.streaming import ingest, monitor
 
 
 def _changes(spark, rows):
@@ -350,3 +351,77 @@ def test_circles_of_any_radius(spark):
     battles = frame([(2,)], "zone_id long").selectExpr("*", "date'2020-01-01' AS report_date")
     out = {r.zone_id: r.on_the_board for r in flashpoints.flashpoint_zone(wide, battles, dim).collect()}
     assert out == {1: False, 2: True}
+
+
+def test_the_most_specific_selection_wins(spark, changes):
+    events = spine.event_spine(changes).withColumns({"country_id": F.lit(1), "region_id": F.col("zone_id") % 2, "latitude": F.lit(50.5), "longitude": F.lit(1.5)})
+    last = lambda selection, **more: tuple(series.history(selection, events, **more).orderBy(F.desc("activity_date")).first())[1:]
+    assert last({"zone_id": 1, "country_id": 1}) == (0, 0, 0)
+    assert last({"region_id": 1, "country_id": 1}) == (0, 0, 7)
+    assert last({}) == last({"country_id": 1}) == last({"circle": (50.5, 1.5, 1.0)}) == last({"box": (1.0, 50.0, 2.0, 51.0)}) == (0, 0, 10)
+    assert last({"country_id": 1}, grains={"country_id": series.area_series(events, "country_id")}) == (0, 0, 10)
+    assert series.history({"zone_id": 99}, events).where("legion + swarm + faceless <> 0").count() == 0
+
+
+def test_nothing_is_written_that_does_not_fit(spark, changes, tmp_path):
+    display = spine.display_day(spine.event_spine(changes))
+    index = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "idx long, zone_id long")
+    with pytest.raises(ValueError, match="activity_date is before 2010-01-01"):
+        warehouse.write_display(f"{tmp_path}/a", display, index)
+    with pytest.raises(ValueError, match="idx is from -1 to 1, not from 0"):
+        warehouse.write_display(f"{tmp_path}/a", display, index.withColumn("idx", F.col("idx") - 1), "1970-01-01")
+    assert not (tmp_path / "a").exists()
+    warehouse.write_display(f"{tmp_path}/a", display, index, "1970-01-01")
+    assert {r.idx for r in warehouse.read_display(spark, f"{tmp_path}/a", 2001).collect()} == {0, 2}
+    assert warehouse.read_display(spark, f"{tmp_path}/a").count() == display.count()
+
+
+def test_seeds_and_staging(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('id,label,day,km\na,"Said ""no"", twice",2024-02-29,48.5\n')
+    contract = contracts.T.StructType.fromDDL("id string, label string, day date, km double")
+    assert contracts.read_seeds(spark, str(tmp_path / "s.csv"), contract).collect() == [("a", 'Said "no", twice', dt.date(2024, 2, 29), 48.5)]
+    (tmp_path / "s.csv").write_text("id,label,day,km\na,b,soon,1\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        contracts.read_seeds(spark, str(tmp_path / "s.csv"), contract).collect()
+    raw = spark.range(2).select(*(F.when(F.col("id") == 0, "-3").alias(c) for c in (*staging.REPORTS, "Extra. Column")))
+    assert [(r.zone_id, r.is_tournament) for r in staging.stage_reports(raw).orderBy("zone_id").collect()] == [(None, None), (-3, True)]
+    with pytest.raises(ValueError, match="missing columns: Zone ID"):
+        staging.stage_reports(raw.drop("Zone ID"))
+
+
+def test_pages_keep_a_row_each(spark):
+    html = "<html><title>A &amp;\n b</title><h1>x</h1><p>y<a href='/z'>z</a><a name=q>n</a></html>"
+    got = {tuple(r) for r in pages.extract_pages(spark.createDataFrame([(1, html), (2, None), (3, "  ")], "page_id long, html string")).collect()}
+    assert got == {(1, "A & b", 1, 1, 1, "ok"), (2, None, 0, 0, 0, "missing"), (3, None, 0, 0, 0, "missing")}
+
+
+def test_late_rows_correct_their_successors(spark, tmp_path):
+    at = lambda day: dt.datetime(2024, 1, day)
+    schema = "zone_id long, observed_at timestamp, total long"
+    batches = ([(1, at(20), 5), (1, at(22), 9), (2, at(22), 1)], [(1, at(21), 6), (1, at(30), 9), (1, at(31), 10)], [(1, at(20), 3), (1, at(31), 12)])
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        given = ingest.corrected_deltas(ingest.drops(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), keep_days=2)
+        given.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.zone_id, r.observed_at.day): (r.total, r.delta) for r in ingest.settled(spark.read.schema(given.schema).parquet(f"{tmp_path}/out")).collect()}
+    # Day 20 comes again when days before 22 are cut, so its new delta is not known.
+    assert got == {(1, 20): (3, None), (1, 21): (6, 1), (1, 22): (9, 3), (1, 30): (9, 0), (1, 31): (12, 3), (2, 22): (1, 1)}
+
+
+def test_stale_streams_raise_an_alert(spark, tmp_path):
+    import time
+
+    alerts = []
+    listener = monitor.FreshnessListener(dt.timedelta(days=2), lambda name, newest, age: alerts.append((name, newest.date(), age.days > 2)))
+    spark.streams.addListener(listener)
+    try:
+        rows = spark.createDataFrame([(1, dt.datetime(2020, 5, 4, 3)), (1, dt.datetime(2020, 5, 1))], "zone_id long, observed_at timestamp")
+        rows.write.parquet(f"{tmp_path}/in")
+        counts = ingest.daily_counts(ingest.drops(spark, f"{tmp_path}/in", rows.schema), "zone_id")
+        counts.writeStream.queryName("stale").format("memory").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        until = time.time() + 30
+        while not alerts and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert alerts[0] == ("stale", dt.date(2020, 5, 4), True)
