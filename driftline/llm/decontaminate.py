@@ -10,10 +10,15 @@ first ``width`` words, the documents by every window of that width. Before embed
 4-grams with the band's items to be within the allowed distance of any are left out (the q-gram lemma); the 4-grams
 are kept in one table of fixed size, so that it can be sent to all tasks whatever the benchmark's size.
 Items too short for the first band allow no edits; all windows of as many words meet them by their hash (band ``-n``).
+
+The longer the items of a band, the more edits are allowed and the fewer repetitions meet, so the number of repetitions
+follows from the target recall by drawing copies with as many edits as are allowed; a copy without edits always meets.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +37,10 @@ TABLE_BITS = 20
 SAMPLES = 3
 #: Most words of windows or pairs that are worked on, or sent on, at once.
 MOST_WORDS = 1 << 21
+#: Copies drawn to find a band's repetitions. Bands of over DRAWN_WORDS words take the number of the widest below.
+DRAWN, DRAWN_WORDS = 200, 2000
+#: So many would cost more than they find; a lower ``recall`` or ``rate`` is asked for instead.
+MOST_REPETITIONS = 1024
 PAD = np.uint64(0x5BD1E995)
 
 
@@ -78,7 +87,38 @@ def cgk_keys(rows: np.ndarray, band: int, repetitions: int) -> np.ndarray:
     return keys.T
 
 
-def _item_rows(repetitions: int, rate: float):
+@lru_cache(maxsize=None)
+def repetitions_for(band: int, rate: float, recall: float, least: int) -> int:
+    """The fewest repetitions, ``least`` or more, by which that share of copies with all allowed edits share a key.
+
+    Only windows that start where the copy does are drawn; others that meet add to the recall.
+    """
+    if not 0 < recall < 1:
+        raise ValueError("recall must lie between 0 and 1")
+    band = min(band, max(b for b, w in enumerate(WIDTHS) if w <= DRAWN_WORDS))
+    width, rng = WIDTHS[band], np.random.default_rng(band)
+    whole, copies = np.full((2, DRAWN, width), PAD)
+    for k in range(DRAWN):
+        words = rng.integers(1, 1 << 62, int(rng.integers(width, WIDTHS[band + 1]))).astype(np.uint64)
+        whole[k] = words[:width]
+        # Each edit replaces a word, puts one before it or takes it out.
+        edited = words.tolist()
+        for kind, new in zip(rng.integers(0, 3, int(rate * len(words))).tolist(), rng.integers(1, 1 << 62, len(words)).tolist()):
+            at = int(rng.integers(len(edited)))
+            edited[at : at + (kind != 1)] = [] if kind == 2 else [new]
+        edited = edited[:width]
+        copies[k, : len(edited)] = edited
+    tried = max(least, 32)
+    while True:
+        met = np.maximum.accumulate(cgk_keys(whole, band, tried) == cgk_keys(copies, band, tried), 1).mean(0)
+        if met[-1] >= recall:
+            return max(least, int(np.argmax(met >= recall)) + 1)
+        if tried >= MOST_REPETITIONS:
+            raise ValueError(f"no {tried} repetitions reach a recall of {recall} at {rate} edits a word for items of {width} words")
+        tried *= 2
+
+
+def _item_rows(repetitions: int, rate: float, recall: float):
     def run(batches):
         for batch in batches:
             out = []
@@ -91,7 +131,7 @@ def _item_rows(repetitions: int, rate: float):
                 elif len(t):
                     w = WIDTHS[band]
                     out.append({"item": item.as_py(), "band": band, "allowed": int(rate * len(t)), "item_tokens": signed(t).tolist(),
-                                "keys": signed(cgk_keys(t[None, :w], band, repetitions)[0]).tolist(),
+                                "keys": signed(cgk_keys(t[None, :w], band, repetitions_for(band, rate, recall, repetitions))[0]).tolist(),
                                 "grams": slots_of(windows(t[:w], Q)).tolist()})
             kind = pa.schema([("item", batch.schema.field(0).type), ("band", pa.int64()), ("allowed", pa.int64()), ("item_tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist(out, schema=kind)
@@ -99,7 +139,7 @@ def _item_rows(repetitions: int, rate: float):
     return run
 
 
-def _window_rows(table: np.ndarray, short: np.ndarray, bands: list[int], sizes: list[int], repetitions: int, rate: float):
+def _window_rows(table: np.ndarray, short: np.ndarray, bands: dict[int, int], sizes: list[int], rate: float):
     names = ("at", "row", "band", "start", "doc_tokens", "keys")
 
     def packed(ids, out):
@@ -123,7 +163,7 @@ def _window_rows(table: np.ndarray, short: np.ndarray, bands: list[int], sizes:
                             out[name].append(value)
                 if not hits.any():
                     continue
-                for band in bands:
+                for band, repetitions in bands.items():
                     own = (hits >> hits.dtype.type(band)) & hits.dtype.type(1)
                     if not own.any():
                         continue
@@ -184,17 +224,18 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), pa.array(out)], names=["id", "item", "start", "distance"]).filter(near)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, repetitions: int = 16) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, recall: float = 0.95, repetitions: int = 16) -> DataFrame:
     """(id, item id, start, distance): documents that hold an item within ``rate`` word edits per item word.
 
     One row per document and item, with the least distance and the first window (in words) that has it. Items under
-    8 words must occur word for word; items without a word are in no document. Null and empty texts hold nothing; repeated rows count once. Recall against brute
-    force is about 1 for exact copies and over 0.9 at the allowed distance.
+    8 words must occur word for word; items without a word are in no document. Null and empty texts hold nothing; repeated rows count once. All exact
+    copies are found, and at least about ``recall`` of those at the allowed distance: as many repetitions as that takes, and
+    no fewer than ``repetitions``.
     """
     spark = docs.sparkSession
     item_type, id_type = benchmark.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).mapInArrow(
-        _item_rows(repetitions, rate), f"item {item_type}, band long, allowed long, item_tokens array<bigint>, keys array<bigint>, grams array<bigint>"
+        _item_rows(repetitions, rate, recall), f"item {item_type}, band long, allowed long, item_tokens array<bigint>, keys array<bigint>, grams array<bigint>"
     )
     items = materialize(items, "items")
     slots, masks, bands, sizes, short = [], [], set(), set(), np.zeros(1 << TABLE_BITS, np.uint8)
@@ -212,8 +253,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     table[np.array(slots, np.int64)] = np.array(masks, table.dtype)
     sent = spark.sparkContext.broadcast((table, short))
 
-    def rows(batches, bands=sorted(bands), sizes=sorted(sizes)):
-        return _window_rows(*sent.value, bands, sizes, repetitions, rate)(batches)
+    needed = {b: repetitions_for(b, rate, recall, repetitions) for b in sorted(bands)}
+
+    def rows(batches, sizes=sorted(sizes)):
+        return _window_rows(*sent.value, needed, sizes, rate)(batches)
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialize(own.mapInArrow(rows, f"id {id_type}, row long, band long, start long, doc_tokens array<bigint>, keys array<bigint>"), "windows")
