@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality, secrets, toxicity, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality, resample, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_chat_format, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_warc_revisits, op8_decontamination, op9_source_mixing, op10_secret_scan)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_chat_format, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_warc_revisits, op8_decontamination, op9_source_mixing, op10_secret_scan, op12_importance_resampling)}
 
 _SHINGLES = r"""
 WITH RECURSIVE words AS (
@@ -140,4 +144,29 @@ c(source, rate, k, p, s) AS (
 SELECT doc_id, source, CAST(unnest(range(0, n)) AS BIGINT) AS copy, text FROM drawn
 """
 
-ORACLE = {"op1_ngram_jaccard_join": _SHINGLES, "op2_license_scan": _LICENSES, "op3_chat_format": _CHAT, "op7_warc_revisits": _WARC, "op9_source_mixing": _MIXING}
+_RESAMPLING = r"""
+WITH RECURSIVE bits(b, k, v) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY b) AS crc FROM bits WHERE k = 8),
+words AS (
+  SELECT doc_id, true AS ours, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT NULL, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), each AS (SELECT doc_id, ours, unnest(w) AS w FROM words),
+coded AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM each)),
+buckets AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM coded, crc
+), counts AS (
+  SELECT bucket, count(*) FILTER (WHERE ours) AS s, count(*) FILTER (WHERE NOT ours) AS t FROM each JOIN buckets USING (w) GROUP BY 1
+), sums AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM counts, sums),
+weights AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM each JOIN buckets USING (w) JOIN gains USING (bucket) WHERE ours GROUP BY 1),
+scores AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (doc_id) WHERE ours
+), able AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_features >= 20)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s.n_features AS BIGINT) AS n_features, s.weight, s.score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM scores s LEFT JOIN able USING (doc_id)
+"""
+
+ORACLE = {"op12_importance_resampling": _RESAMPLING, "op1_ngram_jaccard_join": _SHINGLES, "op2_license_scan": _LICENSES, "op3_chat_format": _CHAT, "op7_warc_revisits": _WARC, "op9_source_mixing": _MIXING}
