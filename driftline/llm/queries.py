@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality, resample, secrets, toxicity, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality, resample, secrets, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_chat_format, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_warc_revisits, op8_decontamination, op9_source_mixing, op10_secret_scan, op12_importance_resampling)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_chat_format, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_warc_revisits, op8_decontamination, op9_source_mixing, op10_secret_scan, op12_importance_resampling, op13_substring_dedup)}
 
 _SHINGLES = r"""
 WITH RECURSIVE words AS (
@@ -169,4 +174,15 @@ scores AS (
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s.n_features AS BIGINT) AS n_features, s.weight, s.score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM scores s LEFT JOIN able USING (doc_id)
 """
 
-ORACLE = {"op12_importance_resampling": _RESAMPLING, "op1_ngram_jaccard_join": _SHINGLES, "op2_license_scan": _LICENSES, "op3_chat_format": _CHAT, "op7_warc_revisits": _WARC, "op9_source_mixing": _MIXING}
+_SUBSTRINGS = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS s FROM words),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM windows JOIN firsts USING (s) WHERE doc_id > first),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE = {"op13_substring_dedup": _SUBSTRINGS, "op12_importance_resampling": _RESAMPLING, "op1_ngram_jaccard_join": _SHINGLES, "op2_license_scan": _LICENSES, "op3_chat_format": _CHAT, "op7_warc_revisits": _WARC, "op9_source_mixing": _MIXING}
