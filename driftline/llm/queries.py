@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality, resample, secrets, substring_dedup, toxicity, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality, resample, secrets, substring_dedup, token_align, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +68,7 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_chat_format, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_warc_revisits, op8_decontamination, op9_source_mixing, op10_secret_scan, op12_importance_resampling, op13_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_chat_format, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_warc_revisits, op8_decontamination, op9_source_mixing, op10_secret_scan, op11_token_alignment, op12_importance_resampling, op13_substring_dedup)}
 
 _SHINGLES = r"""
 WITH RECURSIVE words AS (
