@@ -263,9 +263,10 @@ class _Gathered:
 
 def _flags(rows: DataFrame) -> DataFrame:
     """(doc, key, pair) of rows that repeat: a pair in a smaller document, an anchor in any other."""
-    own = F.when(F.col("kind") >= ANCHOR_DONE, F.col("doc"))
-    same = Window.partitionBy("key", "check", "kind", own)
-    marked = rows.withColumn("least", F.min("doc").over(same)).withColumn("most", F.max("doc").over(same))
+    # One window for both: rows that are done stand alone in theirs.
+    own = rows.withColumn("own", F.when(F.col("kind") >= ANCHOR_DONE, F.col("doc")))
+    same = Window.partitionBy("key", "check", "kind", "own")
+    marked = own.select("*", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("most"))
     repeats = (F.col("kind") >= ANCHOR_DONE) | F.when(F.col("kind") == PAIR, F.col("doc") > F.col("least")).otherwise(F.col("least") < F.col("most"))
     return marked.where(repeats).select("doc", "key", F.col("kind").isin(PAIR, PAIR_DONE).alias("pair"))
 

@@ -30,6 +30,8 @@ from ..plans.scratch import materialize
 BYTE_MODEL, PIECE_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Links and documents of a block at most (one document may have more links), units that a task remembers, characters encoded at once.
 BLOCK_LINKS, BLOCK_DOCS, UNITS, ENCODE_CHARS = 6_000_000, 1 << 16, 500_000, 100_000
+#: Texts whose new units are learnt together.
+STEP = 500
 #: Where a unit ends: between a character and the space or newline after it, and after a newline alone. White space is
 #: taken widely here, so that runs of it are never cut.
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)")
@@ -87,14 +89,31 @@ class Vocabularies:
         return ends_a, ends_b, groups, links, pairs, said
 
 
+class _Grown:
+    """An array that rows are added to."""
+
+    def __init__(self, shape: tuple[int, ...]):
+        self._held, self._n = np.zeros((1024, *shape[1:]), np.int64), shape[0]
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self._held[: self._n]
+
+    def add(self, rows: np.ndarray) -> None:
+        if self._n + len(rows) > len(self._held):
+            self._held = np.concatenate([self.rows, np.zeros((self._n + 2 * len(rows), *self._held.shape[1:]), np.int64)])
+        self._held[self._n : self._n + len(rows)] = rows
+        self._n += len(rows)
+
+
 class Units:
     """Encoded and aligned units: per unit the numbers of tokens, groups and links, the pairs, and the groups as text."""
 
     def __init__(self, vocabularies: Vocabularies):
-        self.v, self.uses = vocabularies, 0
+        self.v = vocabularies
         self.number: dict[str, int] = {}
         self.said: list[str] = []
-        self.counts, self.start, self.pairs = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.counts, self.start, self.pairs = _Grown((0, 4)), _Grown((1,)), _Grown((0,))
 
     def _append(self, a, b, cuts: np.ndarray) -> np.ndarray | None:
         """Add units that end at the bytes ``cuts`` after what ends at the first of them; None if a token lies across a cut."""
@@ -105,9 +124,9 @@ class Units:
         words = at[0] + at[1]
         first = len(self.said)
         self.said += ["".join(said[s:e]) for s, e in zip(words[:-1], words[1:])]
-        self.counts = np.concatenate([self.counts, np.diff(np.stack(at, 1), axis=0)])
-        self.pairs = np.concatenate([self.pairs, pairs[at[3][0] : at[3][-1]]])
-        self.start = np.concatenate([self.start, self.start[-1] + at[3][1:] - at[3][0]])
+        self.counts.add(np.diff(np.stack(at, 1), axis=0))
+        self.start.add(self.start.rows[-1] + at[3][1:] - at[3][0])
+        self.pairs.add(pairs[at[3][0] : at[3][-1]])
         return np.arange(first, len(self.said))
 
     def learn(self, units: list[str]) -> None:
@@ -148,18 +167,18 @@ class Units:
             for unit in units:
                 self._learn([unit])
 
-    def of(self, text: str) -> list[int]:
-        """Unit numbers of a text; a text that cannot be cut is a unit of its own, one without tokens has none."""
-        units = _EDGE.split(" " + text)
-        try:
-            found = list(map(self.number.__getitem__, units))
-        except KeyError:
-            self.learn([u for u in dict.fromkeys(units) if u not in self.number])
-            found = list(map(self.number.__getitem__, units))
-        if -1 in found:
-            tokens = self.v.encode(text)
-            found = self._append(*tokens, np.array([0, len(text.encode()) + 1])).tolist() if tokens else []
-        return found
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Unit numbers of each text; a text that cannot be cut is a unit of its own, one without tokens has none."""
+        cut = [_EDGE.split(" " + t) if t else [] for t in texts]
+        new = dict.fromkeys(u for units in cut for u in units if u not in self.number)
+        if new:
+            self.learn(list(new))
+        for text, units in zip(texts, cut):
+            found = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+            if (found < 0).any():
+                tokens = self.v.encode(text)
+                found = self._append(*tokens, np.array([0, len(text.encode()) + 1])) if tokens else found[:0]
+            yield found
 
 
 def _byte_rows(values: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -253,9 +272,9 @@ def _blocks(batches, models) -> Iterator[pa.RecordBatch]:
     def block_rows():
         doc = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
         unit = np.concatenate([*numbers, np.zeros(0, np.int64)]).astype(np.int64)
-        n = units.counts[unit, 3]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - units.start[unit], n)
-        codes, dense = np.unique(units.pairs, return_inverse=True)
+        n = units.counts.rows[unit, 3]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - units.start.rows[unit], n)
+        codes, dense = np.unique(units.pairs.rows, return_inverse=True)
         entries = (dense[place] << 16) | np.repeat(doc, n)
         entries.sort()
         opens = np.flatnonzero(np.r_[True, entries[1:] != entries[:-1]][: len(entries)])
@@ -274,21 +293,24 @@ def _blocks(batches, models) -> Iterator[pa.RecordBatch]:
         if schema is None:
             named = {"pair": pa.int64(), "docs": pa.int64(), "links": pa.int64(), "bitmap": pa.binary(), "planes": pa.binary(), "ordinal": pa.int64(), "groups_sha256": pa.string()}
             schema = pa.schema([("block", pa.int64()), ("id", batch.schema[0].type), *((c, named.get(c, pa.int64())) for c in ("ordinal", *_DOC, "groups_sha256", "pair", "docs", "links", "bitmap", "planes"))])
-        for i, text in enumerate(batch.column(1)):
-            text = text.as_py()
-            own = np.array(units.of(text), np.int64) if text else np.zeros(0, np.int64)
-            counts = units.counts[own].sum(0)
-            if rows and (links + counts[3] > BLOCK_LINKS or len(rows) == BLOCK_DOCS):
-                yield from block_rows()
-                ids, rows, numbers, links, block = [], [], [], 0, block + 1
-            if not rows and len(units.said) > UNITS:
+        for at in range(0, batch.num_rows, STEP):
+            texts = batch.column(1).slice(at, STEP).to_pylist()
+            if len(units.said) > UNITS:
+                # Unit numbers of the block at hand go with the units.
+                if rows:
+                    yield from block_rows()
+                    ids, rows, numbers, links, block = [], [], [], 0, block + 1
                 units = _units_of(*models.value)
-                own = np.array(units.of(text), np.int64) if text else own
-            said = hashlib.sha256("".join(map(units.said.__getitem__, own.tolist()))[:-1].encode()).hexdigest() if len(own) else ""
-            ids.append(batch.column(0).slice(i, 1))
-            rows.append((*counts.tolist(), said))
-            numbers.append(own)
-            links += int(counts[3])
+            for i, own in enumerate(units.of(texts), at):
+                counts = units.counts.rows[own].sum(0).tolist()
+                if rows and (links + counts[3] > BLOCK_LINKS or len(rows) == BLOCK_DOCS):
+                    yield from block_rows()
+                    ids, rows, numbers, links, block = [], [], [], 0, block + 1
+                said = hashlib.sha256("".join(map(units.said.__getitem__, own.tolist()))[:-1].encode()).hexdigest() if len(own) else ""
+                ids.append(batch.column(0).slice(i, 1))
+                rows.append((*counts, said))
+                numbers.append(own)
+                links += counts[3]
     if rows:
         yield from block_rows()
 
