@@ -29,11 +29,12 @@ from ..plans.scratch import materialize
 
 BYTE_MODEL, PIECE_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Links and documents of a block at most (one document may have more links), units that a task remembers, characters encoded at once.
-BLOCK_LINKS, BLOCK_DOCS, UNITS, ENCODE_CHARS = 6_000_000, 1 << 16, 500_000, 100_000
+BLOCK_LINKS, BLOCK_DOCS, UNITS, ENCODE_CHARS = 6_000_000, 1 << 16, 500_000, 10_000
 #: Texts whose new units are learnt together.
 STEP = 500
 #: Where a unit ends: between a character and the space or newline after it, and after a newline alone. White space is
 #: taken widely here, so that runs of it are never cut.
+_BARE = "\ue000"
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)")
 
 
@@ -106,19 +107,36 @@ class _Grown:
         self._n += len(rows)
 
 
+class _Slots(dict):
+    """Numbers keys in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = slot = len(self)
+        self.new.append(key)
+        return slot
+
+
 class Units:
-    """Encoded and aligned units: per unit the numbers of tokens, groups and links, the pairs, and the groups as text."""
+    """Encoded and aligned units: per unit the numbers of tokens, groups and links, the pairs, and the groups as text.
+
+    A unit is known by a key: what follows its leading space, or ``_BARE`` and the unit where it has none, twice
+    ``_BARE`` if it ends a text with white space.
+    """
 
     def __init__(self, vocabularies: Vocabularies):
         self.v = vocabularies
-        self.number: dict[str, int] = {}
+        self.slots, self.row = _Slots(), _Grown((0,))
         self.said: list[str] = []
         self.counts, self.start, self.pairs = _Grown((0, 4)), _Grown((1,)), _Grown((0,))
 
     def _append(self, a, b, cuts: np.ndarray) -> np.ndarray | None:
         """Add units that end at the bytes ``cuts`` after what ends at the first of them; None if a token lies across a cut."""
         ends_a, ends_b, groups, links, pairs, said = self.v.align(a, b)
-        if not np.isin(cuts, groups).all():
+        if not np.isin(cuts[cuts > 0], groups).all():
             return None
         at = [np.searchsorted(x, cuts, "right") for x in (ends_a, ends_b, groups, links)]
         words = at[0] + at[1]
@@ -129,52 +147,65 @@ class Units:
         self.pairs.add(pairs[at[3][0] : at[3][-1]])
         return np.arange(first, len(self.said))
 
-    def learn(self, units: list[str]) -> None:
-        """Encode new units, many at once where each ends in a character; -1 is the number of those that cannot be cut out."""
-        batch, size = [], 0
-        for unit in units:
-            if unit[-1].isspace() or len(unit) > ENCODE_CHARS:
-                self._learn([unit])
+    def learn(self) -> None:
+        """Encode new units, many at once where each ends in a character; those that cannot be cut out get row -1."""
+        new, self.slots.new = self.slots.new, []
+        rows, batch, size = np.full(len(new), -1, np.int64), [], 0
+        for k, key in enumerate(new):
+            unit = " " + key if key[:1] != _BARE else key.lstrip(_BARE)
+            if key[:2] == 2 * _BARE or key == _BARE + "\n":
+                rows[k] = self._learn([unit])[0]
+            elif not unit or unit[-1].isspace() or (unit[0] not in " \n" and unit[0].isspace()):
+                continue
             else:
-                batch.append(unit)
+                batch.append((k, unit))
                 size += len(unit)
-                if size > ENCODE_CHARS:
-                    self._learn(batch)
-                    batch, size = [], 0
+            if size > ENCODE_CHARS:
+                at, units = zip(*batch)
+                rows[list(at)] = self._learn(list(units))
+                batch, size = [], 0
         if batch:
-            self._learn(batch)
+            at, units = zip(*batch)
+            rows[list(at)] = self._learn(list(units))
+        self.row.add(rows)
 
-    def _learn(self, units: list[str]) -> None:
-        # A line of its own stands before a unit without white space in front; it belongs to no unit.
-        parts, cuts, skipped, at = ["a"], [2], [], 2
+    def _learn(self, units: list[str]) -> np.ndarray:
+        # A letter stands before all units, and a newline before each that has no white space in front; they belong to no unit.
+        parts, cuts, own, at = ["a"], [2], [], 2
         for unit in units:
             if unit[0] not in " \n":
                 parts.append("\n")
                 at += 1
-                skipped.append(len(cuts) - 1)
                 cuts.append(at)
             parts.append(unit)
+            own.append(len(cuts) - 1)
             at += len(unit.encode())
             cuts.append(at)
         tokens = self.v.encode("".join(parts))
-        numbers = self._append(*tokens, np.array(cuts)) if tokens else None
-        if numbers is not None:
-            for unit, k in zip(units, np.delete(numbers, skipped)):
-                self.number[unit] = int(k)
-        elif len(units) == 1:
-            self.number[units[0]] = -1
-        else:
-            for unit in units:
-                self._learn([unit])
+        rows = self._append(*tokens, np.array(cuts)) if tokens else None
+        if rows is not None:
+            return rows[own]
+        return np.concatenate([self._learn([u]) for u in units]) if len(units) > 1 else np.full(1, -1)
+
+    def _keys(self, text: str) -> list[str]:
+        if _BARE in text:
+            return [_BARE]
+        if not (text[0].isspace() or text[-1].isspace() or any(run in text for run in ("  ", " \n", "\n ", "\n\n"))):
+            # White space stands alone everywhere, as far as spaces and newlines go; other white space has no key.
+            return text.replace("\n", f" {_BARE}\n {_BARE}").split(" ")
+        keys = [u[1:] if u[0] == " " else _BARE + u for u in _EDGE.split(" " + text)]
+        if text[-1].isspace():
+            last = keys[-1]
+            keys[-1] = 2 * _BARE + (last[1:] if last[:1] == _BARE else " " + last)
+        return keys
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Unit numbers of each text; a text that cannot be cut is a unit of its own, one without tokens has none."""
-        cut = [_EDGE.split(" " + t) if t else [] for t in texts]
-        new = dict.fromkeys(u for units in cut for u in units if u not in self.number)
-        if new:
-            self.learn(list(new))
-        for text, units in zip(texts, cut):
-            found = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        """Rows of the units of each text; a text that cannot be cut is a unit of its own, one without tokens has none."""
+        slots = [np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys)) for keys in (self._keys(t) if t else [] for t in texts)]
+        if self.slots.new:
+            self.learn()
+        for text, own in zip(texts, slots):
+            found = self.row.rows[own]
             if (found < 0).any():
                 tokens = self.v.encode(text)
                 found = self._append(*tokens, np.array([0, len(text.encode()) + 1])) if tokens else found[:0]
