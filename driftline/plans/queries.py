@@ -12,7 +12,7 @@ from ..functions.scalars import cell_of
 from ..operators import checks, flashpoints, geo, history, keys, lookups, reports, series, spine
 from ..sources import adapters as A
 from ..sources import pages as P
-from . import page_queries, views
+from . import page_queries, stream_queries, views
 
 DAY, START, PLACE = "1998-06-15", "1998-01-01", (51.0, 1.5, 25.0)
 BAD = ("1997-07-01", "1997-09-11")
@@ -281,4 +281,4 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "check_widths": lambda m: checks.fits(m.stats, {"launches": "uint8", "players": "uint8", "launch_1": "int16"}),
 }
 
-QUERIES = {name: _q(build) for name, build in (_BUILD | views.BUILD | page_queries.BUILD).items()}
+QUERIES = {name: _q(build) for name, build in (_BUILD | views.BUILD | page_queries.BUILD | stream_queries.BUILD).items()}

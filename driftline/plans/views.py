@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..operators import checks, flashpoints, geo, history, keys, reports, series
 from ..sources import adapters as A
 from ..sources import contracts, staging
-from ..streaming import ingest
+from ..streaming import deltas, ingest
 from . import warehouse
 from .oracles import ORACLE as _KNOWN
 from .oracles import _km, _with
@@ -103,9 +103,10 @@ def _stream_deltas(m) -> DataFrame:
     drop, out, checkpoint = (new_path(m.spark, f"stream_{kind}") for kind in ("drops", "deltas", "checkpoint"))
     for odd in (0, 1):
         rows.where(F.col("total") % 2 == odd).write.mode("append").parquet(drop)
-        given = ingest.corrected_deltas(ingest.drops(m.spark, drop, rows.schema, 1 << 20), "user_id", "ts", keep_days=36_500)
-        given.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return ingest.settled(m.spark.read.schema(given.schema).parquet(out), "user_id", "ts").select("user_id", F.col("total").alias("event_id"), "delta")
+        given = deltas.corrected_deltas(ingest.drops(m.spark, drop, rows.schema, 1 << 20), "user_id", "ts", keep_days=36_500)
+        with deltas.map_state(m.spark):
+            given.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return deltas.settled(m.spark.read.schema(given.schema).parquet(out), "user_id", "ts").select("user_id", F.col("total").alias("event_id"), "delta")
 
 
 def _histories(m) -> DataFrame:

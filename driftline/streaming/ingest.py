@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +15,11 @@ def drops(spark: SparkSession, path: str, schema: T.StructType, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def merge_stream(changes: DataFrame, root: str, checkpoint: str, ts: str = "observed_at") -> StreamingQuery:
-    """Merge each micro-batch into the table partitioned by year; a batch that is run again adds nothing."""
+def merge_stream(changes: DataFrame, root: str, checkpoint: str, ts: str = "observed_at", key: str = "zone_id") -> StreamingQuery:
+    """Merge each micro-batch into the table partitioned by year; a batch that is run again, and a drop that comes twice, add nothing."""
 
     def put(batch: DataFrame, _: int) -> None:
-        merge_events(batch.sparkSession, batch.withColumn("year", F.year(ts)), root, ["zone_id", ts])
+        merge_events(batch.sparkSession, batch.withColumn("year", F.year(ts)), root, [key, ts])
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -33,36 +31,58 @@ def state_stream(changes: DataFrame, root: str, checkpoint: str, ts: str = "obse
     """Keep the newest row per key under ``root``; a late row never rolls a key back.
 
     Keys lie in ``BUCKETS`` buckets. A batch reads and writes the buckets of its own keys only, as version ``n`` of them; what it does
-    is the same when it is run again. ``read_state`` takes the newest version of each bucket.
+    is the same when it is run again. ``read_state`` takes the newest version of each bucket. Versions that not even a
+    batch that is run again would read go, so a bucket has two at most.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        old = _newest(spark, root, rows.schema, number).where(F.col("bucket").isin(touched))
+        versions = _versions(spark, root)
+        old = _read_versions(spark, root, rows.schema, {b: max((v for v in versions.get(b, ()) if v < number), default=None) for b in touched})
         merged = materialize(last_wins(old, rows, [key], [ts]), "state")
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={number}")
+        _forget(spark, root, versions, number)
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _newest(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The rows of the newest version of each bucket, of those before ``before`` if that is given."""
-    versions = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("version", T.IntegerType())]))
-    if before != 0:
-        versions = spark.read.schema(versions.schema).parquet(root)
-        versions = versions if before is None else versions.where(F.col("version") < before)
-    last = versions.groupBy("bucket").agg(F.max("version").alias("version"))
-    return versions.join(F.broadcast(last), ["bucket", "version"]).select(schema.names)
+def _versions(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """The versions of each bucket, from the names of folders: at most two of each, whatever the table holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/bucket=*")
+    out: dict[int, list[int]] = {}
+    for found in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or ():
+        bucket = found.getPath()
+        out.setdefault(int(bucket.getName().partition("=")[2]), []).append(int(bucket.getParent().getName().partition("=")[2]))
+    return out
+
+
+def _read_versions(spark: SparkSession, root: str, schema: T.StructType, wanted: dict[int, int | None]) -> DataFrame:
+    paths = [f"{root}/version={v}/bucket={b}" for b, v in wanted.items() if v is not None]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", root).schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(*paths).select(schema.names)
+
+
+def _forget(spark: SparkSession, root: str, versions: dict[int, list[int]], number: int) -> None:
+    """Delete what batch ``number`` would not read if it came again: all versions of a bucket but the newest before it."""
+    jvm = spark.sparkContext._jvm
+    for bucket, held in versions.items():
+        earlier = sorted(v for v in held if v < number)
+        for version in earlier[:-1]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/version={version}/bucket={bucket}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_state(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """The state that ``state_stream`` keeps: one row per key, with the columns of the changes."""
-    return _newest(spark, root, T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).drop("bucket")
+    """The state that ``state_stream`` keeps: one row per key, with the columns of the changes. Read it between runs: a run deletes old versions."""
+    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    return _read_versions(spark, root, full, {b: max(held) for b, held in _versions(spark, root).items()}).drop("bucket")
 
 
 def deduplicated(changes: DataFrame, key: str = "zone_id", ts: str = "observed_at", delay: str = "1 day") -> DataFrame:
+    """One row per key and time, as long as equal rows come within ``delay`` of each other; state is dropped after that."""
     return changes.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key, ts])
 
 
@@ -112,50 +132,3 @@ def stateful_deltas(changes: DataFrame, key: str = "zone_id", ts: str = "observe
 
     rows = changes.select(F.col(key).cast("long"), F.col(ts).cast("timestamp"), F.col(col).cast("long"))
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {ts} timestamp, {col} long, delta long", "at long, last long", "append", "NoTimeout")
-
-
-def corrected_deltas(changes: DataFrame, key: str = "zone_id", ts: str = "observed_at", col: str = "total", keep_days: int = 31) -> DataFrame:
-    """Difference of ``col`` to the key's row before, with corrections: a late row also gives its successor's delta anew.
-
-    ``version`` counts what a key has given; of rows with one key and time the highest version counts (``settled``). A
-    row with a time that is known replaces that one. State holds the last ``keep_days`` before a key's newest row, and one row
-    more; a row from before all of these gets a null delta, as its predecessor is no longer known.
-    """
-    reach = keep_days * 86_400_000_000
-
-    def run(keys, frames, state):
-        import pandas as pd
-
-        times, levels, version, cut = state.get if state.exists else ([], [], 0, False)
-        times, levels, out = list(times), list(levels), []
-        for frame in frames:
-            for at, level in zip(frame[ts].astype("datetime64[us]").astype("int64"), frame[col]):
-                at, level = int(at), int(level)
-                i = bisect_left(times, at)
-                if i < len(times) and times[i] == at:
-                    levels[i] = level
-                elif i == 0 and cut:
-                    version += 1
-                    out.append((at, level, None, version))
-                    continue
-                else:
-                    times.insert(i, at)
-                    levels.insert(i, level)
-                # The oldest row kept after a cut only serves as a predecessor; its own delta stands.
-                for j in (i, i + 1):
-                    if j < len(times) and not (j == 0 and cut):
-                        version += 1
-                        out.append((times[j], levels[j], levels[j] - (levels[j - 1] if j else 0), version))
-        first = max(bisect_left(times, times[-1] - reach) - 1, 0) if times else 0
-        state.update((times[first:], levels[first:], version, cut or first > 0))
-        found = pd.DataFrame(out, columns=[ts, col, "delta", "version"])
-        yield pd.DataFrame({key: [keys[0]] * len(found), ts: pd.to_datetime(found[ts], unit="us"), col: found[col], "delta": found["delta"].astype("Int64"), "version": found["version"]})
-
-    rows = changes.select(F.col(key).cast("long"), F.col(ts).cast("timestamp"), F.col(col).cast("long"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {ts} timestamp, {col} long, delta long, version long", "times array<long>, levels array<long>, version long, cut boolean", "append", "NoTimeout")
-
-
-def settled(given: DataFrame, key: str = "zone_id", ts: str = "observed_at") -> DataFrame:
-    """What ``corrected_deltas`` has given, with the last version of each key and time."""
-    rest = [c for c in given.columns if c not in (key, ts, "version")]
-    return given.groupBy(key, ts).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(key, ts, "r.*")

@@ -9,7 +9,7 @@ from driftline.functions import scalars as S
 from driftline.operators import checks, flashpoints, geo, history, keys, lookups, reports, series, spine
 from driftline.plans import warehouse
 from driftline.sources import contracts, pages, staging
-from driftline.streaming import ingest, monitor
+from driftline.streaming import deltas, ingest, monitor
 
 
 def _changes(spark, rows):
@@ -401,9 +401,10 @@ def test_late_rows_correct_their_successors(spark, tmp_path):
     batches = ([(1, at(20), 5), (1, at(22), 9), (2, at(22), 1)], [(1, at(21), 6), (1, at(30), 9), (1, at(31), 10)], [(1, at(20), 3), (1, at(31), 12)])
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        given = ingest.corrected_deltas(ingest.drops(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), keep_days=2)
-        given.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    got = {(r.zone_id, r.observed_at.day): (r.total, r.delta) for r in ingest.settled(spark.read.schema(given.schema).parquet(f"{tmp_path}/out")).collect()}
+        given = deltas.corrected_deltas(ingest.drops(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), keep_days=2)
+        with deltas.map_state(spark):
+            given.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.zone_id, r.observed_at.day): (r.total, r.delta) for r in deltas.settled(spark.read.schema(given.schema).parquet(f"{tmp_path}/out")).collect()}
     # Day 20 comes again when days before 22 are cut, so its new delta is not known.
     assert got == {(1, 20): (3, None), (1, 21): (6, 1), (1, 22): (9, 3), (1, 30): (9, 0), (1, 31): (12, 3), (2, 22): (1, 1)}
 
