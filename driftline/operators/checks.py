@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import EPOCH
+from ..sources.guards import WIDTHS
 
-WIDTHS = {"uint8": (0, 255), "uint16": (0, 65535), "uint32": (0, 4294967295), "int8": (-128, 127), "int16": (-32768, 32767), "int32": (-2147483648, 2147483647)}
 
 
 def not_null(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -31,16 +30,6 @@ def fits(df: DataFrame, widths: dict[str, str]) -> DataFrame:
     return ends.select(F.explode(rows).alias("r")).select("r.*").where("lo < least OR hi > most")
 
 
-def require_fits(df: DataFrame, widths: dict[str, str], days: tuple[str, ...] = (), epoch: str = EPOCH) -> DataFrame:
-    """``df`` itself, before it is written; an error names columns that do not fit their widths, and dates before the epoch."""
-    numbered = df.select(*widths, *(F.datediff(c, F.lit(epoch).cast("date")).alias(f"days of {c}") for c in days))
-    bad = fits(numbered, widths | {f"days of {c}": "uint16" for c in days}).collect()
-    says = [f"{r.column[8:]} is before {epoch}" if r.column.startswith("days of ") and r.lo < 0 else f"{r.column} is from {r.lo} to {r.hi}, not from {r.least} to {r.most}" for r in bad]
-    if says:
-        raise ValueError("; ".join(says))
-    return df
-
-
 def no_negative_totals(*series: DataFrame) -> DataFrame:
     cols = ("legion", "swarm", "faceless")
     bad = [s.where(" OR ".join(f"{c} < 0" for c in cols)).select("activity_date", *cols) for s in series]

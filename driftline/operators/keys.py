@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from ..sources.guards import Guard
 
 
 def stable_index(previous: DataFrame, ids: DataFrame) -> DataFrame:
@@ -36,9 +37,10 @@ def merge_events(spark: SparkSession, incoming: DataFrame, root: str, keys: list
     """Merge rows into a table partitioned by ``partition``; returns rows added per partition. Running it twice adds nothing.
 
     Only partitions that ``incoming`` touches are read and rewritten. The merged rows are written beside the table first:
-    a path cannot be overwritten while it is being read. An incoming row wins over an equal key.
+    a path cannot be overwritten while it is being read. An incoming row wins over an equal key. A row without one of its
+    keys or its partition is an error, and the table stays as it is.
     """
-    incoming = materialize(incoming, "incoming")
+    incoming = materialize(incoming, "incoming", Guard(required=(*keys, partition)))
     touched = [r[0] for r in incoming.select(partition).distinct().collect()]
     if not touched:
         return {}

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.guards import Guard, observed
+
 _written: list[str] = []
 
 
@@ -29,11 +31,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: lineage ends there, so a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, guard: Guard | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: lineage ends there, so a lost executor costs no recomputation. Faults that ``guard`` finds are errors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    if guard is None:
+        df.write.parquet(path)
+    else:
+        observed(df, guard, lambda rows: rows.write.parquet(path))
     return spark.read.schema(df.schema).parquet(path)
 
 

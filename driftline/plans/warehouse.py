@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EPOCH, tile_of
-from ..operators.checks import require_fits
 from ..sources.contracts import write_sharded
+from ..sources.guards import Guard, write_guarded
 
 #: Entities of one block of histories.
 BLOCK = 4096
@@ -19,6 +19,16 @@ LAYOUT = {
     "maz": ("year", ["report_date", "zone_id"]),
 }
 SMALL = ("country", "region")
+_COUNTS = dict.fromkeys(("legion", "swarm", "faceless"), "uint32")
+#: What the columns of each table have to fit. A zone may have no place, and so no tile; nothing else may lack its shard.
+GUARDS = {
+    "zone": Guard({"country_id": "uint8", "region_id": "uint16"}, required=("zone_id",)),
+    "zone_event": Guard({"idx": "uint32", "seq": "uint32", "control_state": "uint8"} | _COUNTS, required=("block", "idx", "observed_at", *_COUNTS)),
+    "zone_day": Guard(_COUNTS, required=("year", "zone_id", *_COUNTS)),
+    "maz": Guard({"launches": "uint31", "players": "uint16"}, required=("year", "zone_id", "launches")),
+    "country": Guard(required=("country_id", "country_name")),
+    "region": Guard(required=("region_id", "region_name")),
+}
 
 
 def sequence(spine: DataFrame, index: DataFrame) -> DataFrame:
@@ -37,9 +47,9 @@ def write_warehouse(root: str, dim: DataFrame, spine: DataFrame, index: DataFram
         "maz": battles.withColumn("year", F.year("report_date")),
     }
     for name, df in tables.items():
-        write_sharded(df, f"{root}/{name}", *LAYOUT[name])
+        write_sharded(df, f"{root}/{name}", *LAYOUT[name], GUARDS[name].on(df.columns))
     for name, df in zip(SMALL, (countries, regions), strict=True):
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        write_guarded(df, f"{root}/{name}", GUARDS[name].on(df.columns))
 
 
 def rebuild_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -51,8 +61,7 @@ def rebuild_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def write_display(root: str, display: DataFrame, index: DataFrame, epoch: str = EPOCH) -> None:
     """The packed history by year, in order of (idx, day); refused if an index, a packed state or a day does not fit."""
     rows = display.join(index, "zone_id").select("idx", "activity_date", "packed", F.year("activity_date").alias("year"))
-    require_fits(rows, {"idx": "uint32", "packed": "uint8"}, ("activity_date",), epoch)
-    write_sharded(rows, root, "year", ["idx", "activity_date"])
+    write_sharded(rows, root, "year", ["idx", "activity_date"], Guard({"idx": "uint32", "packed": "uint8"}, ("year", "idx", "packed"), ("activity_date",), epoch))
 
 
 def read_display(spark: SparkSession, root: str, first: int | None = None, last: int | None = None) -> DataFrame:

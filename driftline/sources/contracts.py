@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .guards import Guard, write_guarded
+
 CHANGELOG = T.StructType(
     [
         T.StructField("zone_id", T.IntegerType()),
@@ -50,8 +52,8 @@ def read_zone_state_csv(spark: SparkSession, paths: list[str] | str) -> DataFram
 
 
 def ingest_lookups(spark: SparkSession, src: str, dst: str, contract: T.StructType) -> DataFrame:
-    """A lookup's CSV, conformed and written as Parquet; returns the written table."""
-    conform(spark.read.csv(src, header=True), contract).write.mode("overwrite").parquet(dst)
+    """A lookup's CSV, conformed and written as Parquet; returns the written table. Its first column, the key, has to be known in every row."""
+    write_guarded(conform(spark.read.csv(src, header=True), contract), dst, Guard(required=(contract.names[0],)))
     return spark.read.schema(contract).parquet(dst)
 
 
@@ -73,17 +75,9 @@ def read_changelog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("year")
 
 
-def check_no_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``df`` itself; an error names columns that hold nulls."""
-    row = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in cols)).collect()[0]
-    if bad := [c for c in cols if row[c]]:
-        raise ValueError(f"nulls in {', '.join(bad)}")
-    return df
-
-
-def write_sharded(df: DataFrame, root: str, shard: str, order: list[str]) -> None:
-    """One folder per shard, rows in order inside each file: one pass, not one scan per shard.
+def write_sharded(df: DataFrame, root: str, shard: str, order: list[str], guard: Guard | None = None) -> None:
+    """One folder per shard, rows in order inside each file: one pass, not one scan per shard. A table that ``guard`` finds a fault in is not put there.
 
     Rows are dealt out by ranges of (shard, order), so that a shard with a third of all rows is several files of several tasks.
     """
-    df.repartitionByRange(shard, *order).sortWithinPartitions(shard, *order).write.mode("overwrite").partitionBy(shard).parquet(root)
+    write_guarded(df.repartitionByRange(shard, *order).sortWithinPartitions(shard, *order), root, guard or Guard(), shard)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keys import last_wins, merge_events
 from ..plans.scratch import materialize
+from ..sources.guards import Guard
 
 
 def drops(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
@@ -41,7 +42,7 @@ def state_stream(changes: DataFrame, root: str, checkpoint: str, ts: str = "obse
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
         versions = _versions(spark, root)
         old = _read_versions(spark, root, rows.schema, {b: max((v for v in versions.get(b, ()) if v < number), default=None) for b in touched})
-        merged = materialize(last_wins(old, rows, [key], [ts]), "state")
+        merged = materialize(last_wins(old, rows, [key], [ts]), "state", Guard(required=(key, "bucket")))
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={number}")
         _forget(spark, root, versions, number)
 
