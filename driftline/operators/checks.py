@@ -112,3 +112,38 @@ def unlabelled_regions(zones: DataFrame) -> DataFrame:
     """Region ids without a label, or with several."""
     found = zones.where("region_id IS NOT NULL").groupBy("region_id").agg(F.count("*").alias("n_zones"), F.count_distinct("region_name").alias("n_labels"))
     return found.where("n_labels <> 1")
+
+
+def coverage_against_spine(manifest: DataFrame, resolved: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
+    """Incidents whose coverage flag differs from the spine itself: whether any event of a zone on their board lies in their run."""
+    runs = resolved.select("flashpoint_id", "run_start", "run_end")
+    board = members.where("on_the_board").select("flashpoint_id", "zone_id").join(F.broadcast(runs), "flashpoint_id")  # the curated list
+    inside = events.select("zone_id", "activity_date").join(board, "zone_id").where("activity_date BETWEEN run_start AND run_end")
+    seen = inside.select("flashpoint_id").distinct().withColumn("seen", F.lit(True))
+    both = manifest.select("flashpoint_id", "changelog_covered").join(seen, "flashpoint_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return both.where(~F.col("changelog_covered").eqNullSafe(F.col("seen")))
+
+
+def board_faults(boards: DataFrame, index: DataFrame, members: DataFrame, resolved: DataFrame, battles: DataFrame) -> DataFrame:
+    """(flashpoint_id, idx, problem) of what is wrong with board lists: an index of no zone, a zone outside the circle, or one without a
+    report in the board window; the window itself has to lie in the run (idx is null there)."""
+    listed = boards.select("flashpoint_id", F.explode("board").alias("idx")).join(index, "idx", "left")
+    circle = members.select("flashpoint_id", "zone_id").distinct().withColumn("inside", F.lit(True))
+    days = resolved.select("flashpoint_id", "board_start", "board_end")
+    fought = battles.select("zone_id", "report_date").join(F.broadcast(days)).where("report_date BETWEEN board_start AND board_end")  # the curated list
+    fought = fought.select("flashpoint_id", "zone_id").distinct().withColumn("fought", F.lit(True))
+    rows = listed.join(circle, ["flashpoint_id", "zone_id"], "left").join(fought, ["flashpoint_id", "zone_id"], "left")
+    problem = F.when(F.col("zone_id").isNull(), "no zone").when(F.col("inside").isNull(), "outside the circle").when(F.col("fought").isNull(), "not on the board")
+    wide = resolved.where("board_start < run_start OR board_end > run_end").select("flashpoint_id", F.lit(None).cast("long").alias("idx"), F.lit("outside the run").alias("problem"))
+    return rows.select("flashpoint_id", "idx", problem.alias("problem")).where("problem IS NOT NULL").unionByName(wide)
+
+
+def code_faults(entries: DataFrame, used: DataFrame) -> DataFrame:
+    """(code, problem): codes that are used and address no entry, address several, or leave a gap below them. ``used`` has a column ``code``."""
+    held = entries.groupBy("code").agg(F.count("*").alias("n"))
+    span = entries.agg(F.coalesce(F.max("code"), F.lit(-1)).alias("top"))
+    every = span.where("top >= 0").select(F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("code"))
+    asked = used.select(F.col("code").cast("int").alias("code")).distinct().withColumn("used", F.lit(True))
+    rows = held.join(every.withColumn("below", F.lit(True)), "code", "full_outer").join(asked, "code", "full_outer")
+    problem = F.when(F.col("n").isNull() & F.col("used"), "addresses nothing").when(F.col("n").isNull(), "gap").when(F.col("n") > 1, "addresses several").when(F.col("code").isNull() | (F.col("code") < 0), "no code")
+    return rows.select("code", problem.alias("problem")).where("problem IS NOT NULL")

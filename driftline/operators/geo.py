@@ -213,3 +213,12 @@ def scope(dim: DataFrame, kind: str = "all", circle: tuple[float, float, float]
     if kind == "active":
         return placed.join(events.select("zone_id").distinct(), "zone_id", "left_semi")
     raise ValueError(f"unknown scope: {kind}")
+
+
+def cluster_order(members: DataFrame, sizes: DataFrame, battles: DataFrame) -> DataFrame:
+    """``members`` with ``place``, ``n_zones`` and ``diameter`` of their cluster: a day's clusters from 1 on, larger ones first, then as
+    their first report came. Numbers are given within the day, so nothing is sorted as a whole."""
+    first = members.join(battles.select("report_date", "zone_id", "report_id"), ["report_date", "zone_id"]).groupBy("report_date", "cluster").agg(F.min("report_id").alias("first"))
+    day = Window.partitionBy("report_date").orderBy(F.desc("n_zones"), "first", "cluster")
+    placed = sizes.join(first, ["report_date", "cluster"]).withColumn("place", F.row_number().over(day)).drop("first")
+    return members.join(placed, ["report_date", "cluster"])

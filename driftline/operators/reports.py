@@ -161,3 +161,9 @@ def clusterless_share(sizes: DataFrame, least: int = 4) -> DataFrame:
     per = sizes.groupBy("report_date").agg(F.max("n_zones").alias("most"))
     out = per.agg(F.count("*").alias("n_days"), F.count_if(F.col("most") < least).alias("n_without"))
     return out.withColumn("share", F.round(F.col("n_without") / F.col("n_days"), 6))
+
+
+def maz_range(battles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many distinct (zone, day) entries the board has, and its first and last day; in all, or for each group of ``by``."""
+    entries = battles.select(*(by or []), "zone_id", "report_date").distinct()
+    return entries.groupBy(*(by or [])).agg(F.count("*").alias("n_entries"), F.min("report_date").alias("first_day"), F.max("report_date").alias("last_day"))

@@ -12,7 +12,7 @@ from ..functions.scalars import cell_of
 from ..operators import checks, flashpoints, geo, history, keys, lookups, reports, series, spine
 from ..sources import adapters as A
 from ..sources import pages as P
-from . import page_queries, stream_queries, views
+from . import model_queries, page_queries, stream_queries, views
 
 DAY, START, PLACE = "1998-06-15", "1998-01-01", (51.0, 1.5, 25.0)
 BAD = ("1997-07-01", "1997-09-11")
@@ -31,6 +31,7 @@ class Model:
     spine = property(lambda m: spine.event_spine(m.changelog))
     countries = property(lambda m: A.countries(m.spark, m.sf_dir))
     dim = property(lambda m: spine.dim_zone(A.zones(m.spark, m.sf_dir), A.regions(m.spark, m.sf_dir), m.countries))
+    gapped = property(lambda m: A.with_gaps(m.dim))
     events = property(lambda m: spine.zone_events(m.spine, m.dim))
     display = property(lambda m: spine.display_day(m.spine))
     reports = property(lambda m: A.reports(m.spark, m.sf_dir))
@@ -46,6 +47,10 @@ class Model:
     clusters = property(lambda m: geo.clusters(m.located))
     cluster_sizes = property(lambda m: geo.cluster_sizes(m.clusters, m.located))
     pages = property(lambda m: A.table(m.spark, m.sf_dir, "pages"))
+    codes = property(lambda m: m.impact.join(F.broadcast(flashpoints.codes(m.resolved)), "flashpoint_id", "left").select("code"))
+
+    def boards(m, index: DataFrame) -> DataFrame:
+        return flashpoints.board_lists(m.resolved, m.members, index)
 
 
 def _occupancy(m: Model) -> DataFrame:
@@ -246,7 +251,7 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "net_since": lambda m: series.net_since(series.global_daily(m.spine), START, DAY),
     "series_for_cells": lambda m: series.series_for_cells(series.area_series(m.events, "cell"), BOX),
     "cluster_record": lambda m: geo.cluster_record(m.battles, m.clusters, m.cluster_sizes),
-    "unplaced_reports": lambda m: geo.unplaced_reports(m.reports, m.dim),
+    "unplaced_reports": lambda m: geo.unplaced_reports(m.reports, m.gapped),
     "impact_series": lambda m: flashpoints.impact_series(m.resolved, m.impact),
     "board_lists": _boards,
     "lookup_json": lambda m: lookups.lookup_json(m.dim, "zone_id", ["zone_name", "region_id"]),
@@ -257,7 +262,7 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "check_freshness": lambda m: checks.freshness(m.changelog, "observed_at", "2001-08-05"),
     "check_tile_totals": _tiles,
     "check_unique_events": lambda m: checks.unique(m.changelog, ["zone_id", "observed_at"]),
-    "check_orphans": lambda m: checks.orphans(m.changelog, m.dim),
+    "check_orphans": lambda m: checks.orphans(m.changelog, m.gapped),
     "check_negative_totals": lambda m: checks.no_negative_totals(series.global_daily(m.spine), series.country_daily(m.events, m.countries).drop("country_id")),
     "check_checkpoints": lambda m: checks.one_checkpoint_per_boundary(m.changelog, spine.checkpoints(m.changelog)),
     "check_anchors": lambda m: checks.unresolved_anchors(m.flash, m.dim, m.members),
@@ -265,8 +270,8 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "check_impact_run": lambda m: checks.impact_outside_run(m.resolved, m.impact),
     "check_split": lambda m: checks.split_shortfall(m.reports, *BAD).select("report_id"),
     "check_same_keys": lambda m: checks.same_keys(reports.maz(m.battles), m.stats, ["zone_id", "report_date"]),
-    "check_relationship": lambda m: checks.relationship(m.changelog, "zone_id", m.dim, "warn"),
-    "check_not_null": lambda m: checks.not_null(m.events, ["zone_id", "observed_at", "country_id"]),
+    "check_relationship": lambda m: checks.relationship(m.changelog, "zone_id", m.gapped, "warn"),
+    "check_not_null": lambda m: checks.not_null(spine.zone_events(m.spine, m.gapped), ["zone_id", "observed_at", "country_id"]),
     "map_rows": lambda m: history.map_rows(m.dim, m.spine),
     "tile_manifest": lambda m: geo.tile_manifest(m.dim, m.spine),
     "area_extent": lambda m: geo.area_extent(m.dim, "country_id"),
@@ -281,4 +286,4 @@ _BUILD: dict[str, Callable[[Model], DataFrame]] = {
     "check_widths": lambda m: checks.fits(m.stats, {"launches": "uint8", "players": "uint8", "launch_1": "int16"}),
 }
 
-QUERIES = {name: _q(build) for name, build in (_BUILD | views.BUILD | page_queries.BUILD | stream_queries.BUILD).items()}
+QUERIES = {name: _q(build) for name, build in (_BUILD | views.BUILD | model_queries.BUILD | page_queries.BUILD | stream_queries.BUILD).items()}

@@ -73,7 +73,7 @@ def _growth(m) -> DataFrame:
 
 def _identity(m) -> DataFrame:
     seen = m.changelog.select("zone_id").distinct()
-    named = m.dim.select("zone_id", "zone_name", F.when(F.col("zone_id") % 13 != 0, F.col("region_name")).alias("region_name"))
+    named = m.gapped.select("zone_id", "zone_name", F.when(F.col("zone_id") % 13 != 0, F.col("region_name")).alias("region_name"))
     both = seen.join(named, "zone_id", "left")
     return both.select("zone_id", "zone_name", S.identity_label("region_name", F.col("zone_name").isNotNull()).alias("region"))
 
@@ -202,7 +202,7 @@ ORACLE = {
     "growth": f"""WITH g AS (SELECT faction, activity_date, CAST(level AS DOUBLE) AS now, lag(CAST(level AS DOUBLE), 30) OVER (PARTITION BY faction ORDER BY activity_date) AS was FROM (UNPIVOT (SELECT activity_date, legion, swarm, faceless FROM {_sub('global_daily')}) ON legion, swarm, faceless INTO NAME faction VALUE level)),
         r AS (SELECT *, CASE WHEN was <> 0 THEN now / was END AS x FROM g)
         SELECT faction, activity_date, round(x, 6) AS ratio, CASE WHEN abs(x - 1) < 0.0005 THEN 'same' WHEN x >= 10 THEN 'times' WHEN x > 1 THEN 'up' WHEN x IS NOT NULL THEN 'down' END AS label FROM r""",
-    "zone_identity": _with("cl dim", "SELECT zone_id, zone_name, CASE WHEN zone_name IS NOT NULL THEN CASE WHEN zone_id % 13 <> 0 THEN region_name ELSE 'Region not identified' END END AS region FROM (SELECT DISTINCT zone_id FROM cl) LEFT JOIN dim USING (zone_id)"),
+    "zone_identity": _with("cl gaps", "SELECT zone_id, zone_name, CASE WHEN zone_name IS NOT NULL THEN CASE WHEN zone_id % 13 <> 0 THEN region_name ELSE 'Region not identified' END END AS region FROM (SELECT DISTINCT zone_id FROM cl) LEFT JOIN gaps USING (zone_id)"),
     "bounding_boxes": _with("fr", """SELECT flashpoint_id, round(latitude - up, 6) AS south, round(latitude + up, 6) AS north, round(longitude - up / cos(radians(abs(latitude) + up)), 6) AS west, round(longitude + up / cos(radians(abs(latitude) + up)), 6) AS east
         FROM (SELECT *, radius_km * 1.05 / 111.32 AS up FROM fr)"""),
     "states_at": _with("dd", "SELECT day, zone_id, arg_max(packed, activity_date) AS packed FROM (SELECT CAST(unnest(['" + "', '".join(DAYS) + "']) AS DATE) AS day) JOIN dd ON activity_date <= day GROUP BY 1, 2"),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import page_queries, stream_queries, views
+from .plans import model_queries, page_queries, stream_queries, views
 from .plans.oracles import ORACLE
 from .plans.queries import QUERIES
 
@@ -49,4 +49,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | views.ORACLE | page_queries.ORACLE | stream_queries.ORACLE
+    return ORACLE | views.ORACLE | model_queries.ORACLE | page_queries.ORACLE | stream_queries.ORACLE
