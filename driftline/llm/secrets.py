@@ -48,7 +48,9 @@ _IS_UPPER = np.zeros(256, bool)
 _IS_UPPER[65:91] = True
 _IS_LOWER = np.zeros(256, bool)
 _IS_LOWER[97:123] = True
-_PLAIN = re.compile(r"[\"'`(\[{<]*|[\"'`)\]}>.,;:!?#*$%&|]*$")
+#: What is not the token itself: what opens a quotation or bracket, anywhere, and what closes one or ends a sentence, at its end.
+_OPENS = str.maketrans("", "", "\"'`([{<")
+_ENDS = "\"'`)]}>.,;:!?#*$%&|"
 _DIGIT_RUN = re.compile(r"[\d.,:/+-]+$")
 _LINK = re.compile(r"https?://|www\.|@|\.(com|org|net|html)", re.I)
 
@@ -79,7 +81,7 @@ def base_spans(data: np.ndarray) -> list[tuple[int, int, str]]:
 
 def token_features(token: str, before: tuple[str, str], symbol_share: float, digit_share: float) -> np.ndarray:
     """Shape of the token, key-like words in it and before it, and features of its file."""
-    core = _PLAIN.sub("", token)
+    core = token.rstrip(_ENDS).translate(_OPENS)
     n = len(core)
     digits = sum(c.isdigit() for c in core)
     lower = sum(c.islower() for c in core)
@@ -203,7 +205,7 @@ def _tagged(run: list[tuple[int, int, str, bool]], known: list[tuple[int, int, s
 
 def masked(text: str) -> list[tuple[str, int, int]]:
     """Lines made of the assignments in ``text``, without their marks, and where the value stands (nowhere for an ordinary word)."""
-    out, words = [], [w for w in text[:100_000].split() if w.isalpha() and len(w) >= 8 and w[1:].islower()]
+    out, words = [], [w for w in text.split() if w.isalpha() and len(w) >= 8 and w[1:].islower()]
     for n, m in enumerate(m for m in ASSIGN.finditer(text) if len(m[2]) >= 8):
         left = " ".join(text[max(0, m.start() - 60) : m.start()].split()[-3:])
         for between in ("", "is "):

@@ -221,3 +221,16 @@ def test_repeats_of_empty_and_giant_texts(spark):
     # The words 1000 to 1499 of each of five turns, the last of which is cut short.
     assert got == {1: (500, 0), 2: (300_000, 2500)}
     assert substring_dedup.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_tokens_of_a_megabyte_take_linear_time():
+    """Long runs of punctuation before and inside a token, and a text that is one token."""
+    import time
+
+    from driftline.llm import secrets
+
+    began = time.time()
+    for token in ("." * 1_000_000 + "x=1", "x" + "(." * 500_000, "k" * 1_000_000):
+        secrets.token_features(token, ("", "token"), 0.1, 0.1)
+    assert time.time() - began < 20
+    assert secrets.masked("word " * 50_000 + "lookalike password=abcdefgh1")[1][0].endswith("lookalike and so on")
