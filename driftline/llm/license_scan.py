@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The base phrases.
@@ -66,6 +66,11 @@ def _template_words() -> list[tuple[int, str, list[str]]]:
     return out
 
 
+def run_words(template: int, threshold: Fraction = Fraction(17, 20)) -> int:
+    """How many words a run has in which the template is looked for."""
+    return math.ceil(len("".join(c if c.isalnum() else " " for c in TEMPLATES[template][1].lower()).split()) / threshold)
+
+
 def prefix_table(words: DataFrame, threshold: Fraction) -> tuple[list[str], list[tuple[int, str, list[str], int]]]:
     """The template words, rarest first by documents that hold them, and the templates with ordered words and ``need``."""
     templates = _template_words()
@@ -96,22 +101,34 @@ def match_blocks(keyed: DataFrame, order: list[str], templates: list[tuple[int,
 
 
 def match_runs(keyed: DataFrame, templates: list[tuple[int, str, list[str], int]], threshold: Fraction) -> DataFrame:
-    """(columns of ``keyed`` but text and words, label, containment): the best run of words for each template above the threshold."""
+    """(columns of ``keyed`` but text and words, label, containment): the best run of words for each template above the threshold.
+
+    Places of template words are joined with the templates that hold the word; per document and template they are slid over once,
+    in order, so that the work follows the number of places. A run starts at a template word and is as long as the template's
+    notice divided by ``threshold``; it counts where it holds one of the rarest words (prefix) and enough places (length).
+    """
+    spark = keyed.sparkSession
     keys = [c for c in keyed.columns if c not in ("text", "words")]
-    lengths = [len("".join(c if c.isalnum() else " " for c in text.lower()).split()) for _, text in TEMPLATES]
-    rows = [(label, ws, len(ws), need, math.ceil(lengths[k] / threshold)) for k, label, ws, need in templates]
-    sought = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ws)).alias("t_words"), F.lit(t).alias("t_size"), F.lit(need).alias("need"), F.lit(reach).alias("reach")) for label, ws, t, need, reach in rows))
+    reach = [run_words(k, threshold) for k, *_ in templates]
+    # Places are scaled so that one frame, of ``scale`` units, is as long as the run of every template.
+    scale = math.lcm(*reach)
+    rows = [(word, k, label, len(ws), need, pos < len(ws) - need + 1, scale // reach[n]) for n, (k, label, ws, need) in enumerate(templates) for pos, word in enumerate(ws)]
+    heads = spark.createDataFrame(rows, "word string, template int, label string, t_size int, need int, rare boolean, unit long")
+    prefix = F.array(*(F.lit(w) for w in sorted({r[0] for r in rows if r[5]})))
+    vocabulary = F.array(*(F.lit(w) for w in sorted({r[0] for r in rows})))
+    sizes = F.array(*(F.struct(F.array(*map(F.lit, ws)).alias("words"), F.lit(need).alias("need")) for _, _, ws, need in templates))
     # Prefix and length filters on whole documents first: few hold enough of a template's words anywhere.
-    prefix = F.array(*(F.lit(w) for w in sorted({w for _, ws, t, need, _ in rows for w in ws[: t - need + 1]})))
-    own = keyed.where(F.arrays_overlap("words", prefix)).select(*keys, "words", F.array_distinct("words").alias("held"))
-    able = F.filter(sought, lambda x: F.size(F.array_intersect("held", x["t_words"])) >= x["need"])
-    own = own.select(*keys, "words", F.explode(able).alias("t")).select(*keys, "words", "t.*")
-    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("t_words", x["word"]))
-    own = own.withColumn("places", places)
-    # A run can start at a template word; no run of ``reach`` words has more than ``reach`` of them.
-    near = lambda x, i: F.filter(F.slice("places", i + 1, F.col("reach")), lambda y: y["at"] < x["at"] + F.col("reach"))
-    shared = F.array_max(F.transform("places", lambda x, i: F.size(F.array_distinct(F.transform(near(x, i), lambda y: y["word"])))))
-    return own.withColumn("shared", shared).where("shared >= need").select(*keys, "label", (F.col("shared") / F.col("t_size")).alias("containment"))
+    own = keyed.where(F.arrays_overlap("words", prefix)).withColumn("held", F.array_intersect("words", vocabulary))
+    own = own.where(F.exists(sizes, lambda t: F.size(F.array_intersect("held", t["words"])) >= t["need"]))
+    seen = F.filter(F.transform("words", lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("word"))), lambda x: F.array_contains(vocabulary, x["word"]))
+    places = own.select(*keys, F.explode(seen).alias("p")).select(*keys, "p.*").join(F.broadcast(heads), "word")  # the template list
+    run = Window.partitionBy(*keys, "template").orderBy(F.col("at") * F.col("unit")).rangeBetween(0, scale - 1)
+    slid = places.select(
+        *keys, "label", "t_size", "need", F.collect_set("word").over(run).alias("found"), F.count("*").over(run).alias("n"), F.count_if("rare").over(run).alias("n_rare"),
+    )
+    shared = F.size("found")
+    able = slid.where((F.col("n_rare") > 0) & (F.col("n") >= F.col("need")) & (shared >= F.col("need")))
+    return able.groupBy(*keys, "label").agg(F.max(shared / F.col("t_size")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction | str = "17/20") -> DataFrame:

@@ -89,7 +89,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(min(root) AS BIGINT) AS com
 """
 
 _LICENSES = r"""
-WITH templates(label, t) AS (VALUES {templates}),
+WITH templates(label, t, reach) AS (VALUES {templates}),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
 places AS (
@@ -104,16 +104,20 @@ places AS (
   SELECT doc_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS line FROM docs
 ), line_words AS (
   SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM lines
+), runs AS (
+  SELECT doc_id, label, t, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(t, w[i])), lambda i: list_distinct(w[i:i+reach-1]))) AS b
+  FROM w JOIN templates ON 20 * len(list_intersect(w, t)) >= 17 * len(t)
 ), matches AS (
-  SELECT doc_id, list(DISTINCT label) AS found, max(len(list_intersect(b, t)) / len(t)) AS containment
-  FROM line_words JOIN templates ON 20 * len(list_intersect(b, t)) >= 17 * len(t) GROUP BY 1
+  SELECT doc_id, list(DISTINCT label) AS found, max(len(list_intersect(b, t)) / len(t)) AS containment FROM (
+    SELECT doc_id, label, t, b FROM line_words CROSS JOIN templates UNION ALL SELECT doc_id, label, t, b FROM runs
+  ) WHERE 20 * len(list_intersect(b, t)) >= 17 * len(t) GROUP BY 1
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) AS BIGINT) AS first_word, CAST(list_max(p) AS BIGINT) AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels,
   CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0)::DOUBLE END AS score
 FROM every LEFT JOIN matches USING (doc_id)
-""".replace("{templates}", ", ".join(f"('{label}', {words!r})" for _, label, words in license_scan._template_words()))
+""".replace("{templates}", ", ".join(f"('{label}', {words!r}, {license_scan.run_words(k)})" for k, label, words in license_scan._template_words()))
 
 _CHAT = r"""
 WITH told AS (

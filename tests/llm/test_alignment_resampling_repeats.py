@@ -234,3 +234,64 @@ def test_tokens_of_a_megabyte_take_linear_time():
         secrets.token_features(token, ("", "token"), 0.1, 0.1)
     assert time.time() - began < 20
     assert secrets.masked("word " * 50_000 + "lookalike password=abcdefgh1")[1][0].endswith("lookalike and so on")
+
+
+def _runs(text, threshold=(17, 20)):
+    """Labels and the best containment of any line or run, word by word."""
+    import re
+
+    from driftline.llm import license_scan
+
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+    blocks = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line) for line in text.lower().split("\n")]
+    labels, best = set(), 0
+    for k, label, own in license_scan._template_words():
+        for run in blocks + [words[i : i + license_scan.run_words(k)] for i in range(len(words))]:
+            share = len(set(run) & set(own))
+            if threshold[1] * share >= threshold[0] * len(own):
+                labels.add(label)
+                best = max(best, share / len(own))
+    return labels, best
+
+
+def test_license_runs_equal_brute_force(spark):
+    """Wrapped notices with words left out, put in and doubled, and texts made of template words alone."""
+    from driftline.llm import license_scan
+
+    rng, texts = random.Random(6), []
+    pool = sorted({w for _, _, ws in license_scan._template_words() for w in ws})
+    for _, notice in license_scan.TEMPLATES * 4:
+        words = notice.split()
+        for _ in range(rng.randrange(5)):
+            words.insert(rng.randrange(len(words)), rng.choice(["filler", *pool]))
+        for _ in range(rng.randrange(3)):
+            words.pop(rng.randrange(len(words)))
+        texts.append("x y\n" + "".join(w + rng.choice([" ", " ", "\n# "]) for w in words))
+    texts += [" ".join(rng.choice(pool) for _ in range(200)) for _ in range(6)] + [None, "", "mit\nlicense"]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts * 2)], "doc_id long, text string, label string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs.repartition(3)).collect()}
+    assert len(got) == 2 * len(texts)
+    for k, text in enumerate(texts * 2):
+        labels, best = _runs(text or "")
+        row = got[k]
+        assert {*row.labels.split(",")} - {*row.base_labels.split(","), ""} == labels - {*row.base_labels.split(",")}, k
+        assert row.n_base > 0 or row.score == best
+
+
+def test_license_runs_take_linear_time(spark):
+    import time
+
+    from driftline.llm import license_scan
+
+    rng = random.Random(3)
+    pool = sorted({w for _, _, ws in license_scan._template_words() for w in ws})
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, " ".join(rng.choice(pool) for _ in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert license_scan.scan_licenses(docs).count() == 1
+        return time.time() - began
+
+    seconds(500)
+    small = seconds(2_000)
+    assert seconds(20_000) < 10 * small + 5
