@@ -295,3 +295,20 @@ def test_license_runs_take_linear_time(spark):
     seconds(500)
     small = seconds(2_000)
     assert seconds(20_000) < 10 * small + 5
+
+
+def test_the_counterfactual_penalty_changes_scores_on_the_given_tables(spark):
+    """Mined words are in the given texts, so pairs differ in features that the labels move; identity terms are not."""
+    from driftline.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("text", F.col("toxic").cast("long"))
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    mined = toxicity.mined_terms(rows, sizes[1], sizes[0])
+    assert 8 <= len(mined) <= 64 and toxicity.exchanged(f"x {mined[0]}, y", mined)[0] == f"x {mined[1]}, y"
+    held, free = (toxicity.train(docs, labels, evenness=e) for e in (0.5, 0.0))
+    texts = [r.text or "" for r in docs.select("text").limit(300).collect()]
+    score = lambda model, text: model.score(np.frombuffer(text.encode(), np.uint8))
+    assert max(abs(score(held, t) - score(free, t)) for t in texts) > 0.01
+    moves = lambda model: np.mean([abs(np.log(score(model, v) / (1 - score(model, v))) - np.log(score(model, t) / (1 - score(model, t)))) for t in texts for v in toxicity.exchanged(t, mined)])
+    assert moves(held) < 0.8 * moves(free)
