@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten of them, each usable alone, plus their queries.
+"""Operators of a training-data pipeline: thirteen of them, each usable alone, plus their queries.
 
 Nothing else in the library imports this subpackage.
 """
