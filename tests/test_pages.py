@@ -67,6 +67,15 @@ def test_cells_belong_to_the_next_sibling_alone():
     assert read_page("<p>x</p>", (Ordered((), "div"), Listed("p", "p"))) == {"p": ["x"]}
 
 
+CUT = "<title>A &amp;&lt;&#65; R&amp</title><nav><ul><li><a href='/x?a=1&copy=2'>b &quot</a></ul></nav><article><h1>x&ltd &ampx; &am</h1><p>&amp;lt; &copy y&#66</article>"
+
+
+def test_references_end_with_a_semicolon():
+    row = read_page(CUT, pages.ARTICLE)
+    assert (row["title"], row["heading"], row["labels"], row["paragraphs"]) == ("A &<A R&amp", "x&ltd &ampx; &am", ["b &quot"], ["&lt; &copy y&#66"])
+    assert row["links"] == ["/x?a=1&copy=2"]
+
+
 def test_rejects_are_counted_and_have_no_row(spark):
     rows = [(1, _page()), (2, None), (3, _page(players="")), (4, _page(players="")), (5, _page(stats=""))]
     read = extract.extract(spark.createDataFrame(rows, "report_id long, html string"), pages.REPORT, "report_id")
