@@ -76,6 +76,11 @@ def test_references_end_with_a_semicolon():
     assert row["links"] == ["/x?a=1&copy=2"]
 
 
+def test_counted_pages_keep_cut_references(spark):
+    got = pages.extract_pages(spark.createDataFrame([(1, CUT), (2, " ")], "page_id long, html string")).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, "A &<A R&amp", 1, 1, 1, "ok"), (2, None, 0, 0, 0, "missing")]
+
+
 def test_rejects_are_counted_and_have_no_row(spark):
     rows = [(1, _page()), (2, None), (3, _page(players="")), (4, _page(players="")), (5, _page(stats=""))]
     read = extract.extract(spark.createDataFrame(rows, "report_id long, html string"), pages.REPORT, "report_id")
