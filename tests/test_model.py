@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
@@ -75,6 +76,24 @@ def test_near_pairs_crosses_the_antimeridian(spark):
     assert got == {(1, 2), (2, 1), (4, 5), (5, 4)}
 
 
+def test_nearest_equals_all_pairs_and_repeated_places_make_few(spark, monkeypatch):
+    """Places of many zones, ids that are there twice (at one place, and at two), zones without a place or an id."""
+    rows = [(i, 50 + i % 7 / 100, 1.0 + i % 3 / 100) for i in range(120)] + [(5, 50.05, 1.02), (5, 50.05, 1.02), (5, 50.05, 1.02), (5, 50.05, 1.02), (9, 50.0, 1.01), (500, 50.5, 1.0), (501, None, 1.0), (None, 50.0, 1.0)]
+    points = spark.createDataFrame(rows, "zone_id long, latitude double, longitude double")
+    a, b = (points.select(F.col("zone_id").alias(i), F.col("latitude").alias(f"{s}lat"), F.col("longitude").alias(f"{s}lon")) for i, s in (("origin", "l"), ("zone_id", "r")))
+    pairs = a.crossJoin(b).where("origin <> zone_id").withColumn("km", F.round(geo.haversine_km("llat", "llon", "rlat", "rlon"), 6))
+    for k, km in ((1, 0.0), (3, 1.5), (4, 5.0)):
+        made = []
+        monkeypatch.setattr(geo, "near_pairs", lambda *args, near=geo.near_pairs: made.append(near(*args)) or made[-1])
+        got = geo.nearest(points, points, k, km)
+        monkeypatch.undo()
+        w = Window.partitionBy("origin").orderBy("km", "zone_id")
+        wanted = pairs.where(F.col("km") <= km).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("origin", "zone_id", "km", "place")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+        # 22 places, of each the first k + 1 ids, one of them five times over.
+        assert made[0].count() <= 22 * (22 * (k + 1) + 4)
+
+
 def test_clusters_are_transitive(spark):
     day = dt.date(2000, 1, 1)
     rows = [(day, k, 51.0, 0.3 * k) for k in range(4)] + [(day, 9, 10.0, 10.0)]
