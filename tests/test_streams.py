@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,77 @@ def test_stream_queries_have_rows(spark, name):
 
     got = stream_queries.BUILD[name](queries.Model(spark, "/root/testdata/sf0.001"))
     assert got.agg(F.count("*")).first()[0] > 0
+
+
+class _Store:
+    """Map state, value state and timers of one key in memory; ``calls`` counts the round trips that a state store would have."""
+
+    def __init__(self):
+        self.held, self.value, self.timers, self.calls = {}, None, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return type("Value", (), {"get": lambda _: self.value, "update": lambda _, v: setattr(self, "value", v)})()
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 512])
+def test_chunks_give_what_single_rows_give(monkeypatch, chunk):
+    """Batches in any order, with rows that come again: deltas and state are those of the rows that are kept, however they are cut."""
+    monkeypatch.setattr(deltas, "CHUNK", chunk)
+    draw = np.random.default_rng(chunk)
+    for reach in (4, 40, 10**9):
+        store = _Store()
+        run = deltas.Deltas("k", "v", reach, 10**9)
+        run.init(store)
+        rows, floor, got, wanted = {}, None, {}, {}
+        for step in range(15):
+            batch = {int(t): int(v) for t, v in zip(draw.integers(0, 30 + 5 * step, 12), draw.integers(0, 99, 12))}
+            frame = pd.DataFrame({"at": list(batch), "level": list(batch.values()), "arrival": step})
+            for out in run.handleInputRows((1,), iter([frame]), None):
+                got |= {t: None if d is pd.NA else d for t, d in zip(out["at"], out["delta"])}
+            early = [t for t in batch if floor is not None and t < floor]
+            wanted |= dict.fromkeys(early)
+            rows |= {t: v for t, v in batch.items() if t not in early}
+            times = sorted(rows)
+            wanted |= {t: rows[t] - (rows[times[i - 1]] if i else 0) for i, t in enumerate(times) if floor is None or i}
+            kept = times[max(sum(t < times[-1] - reach for t in times) - 1, 0) :]
+            floor = kept[0] if len(kept) < len(times) or floor is not None else None
+            rows = {t: rows[t] for t in kept}
+            parts = [np.frombuffer(v[0], "int64").reshape(2, -1) for _, v in sorted(store.held.items())]
+            assert max(p.shape[1] for p in parts) <= chunk
+            assert dict(np.concatenate(parts, axis=1).T.tolist()) == rows
+            assert got == wanted
+
+
+def test_state_is_called_by_chunks_not_by_rows():
+    store = _Store()
+    run = deltas.Deltas("k", "v", 10**9, 10**9)
+    run.init(store)
+    for odd in (0, 1):
+        frame = pd.DataFrame({"at": range(odd, 4000, 2), "level": range(odd, 4000, 2), "arrival": odd})
+        (out,) = run.handleInputRows((1,), iter([frame]), None)
+        assert len(out) == (2000 if odd == 0 else 3999) and store.calls <= 40
+    assert len(store.timers) == 1
