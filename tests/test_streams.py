@@ -1,6 +1,7 @@
 """Streams in several runs on one checkpoint: nothing twice, nothing lost, bounded state."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -107,37 +108,39 @@ def test_stream_queries_have_rows(spark, name):
 
 
 class _Store:
-    """Map state, value state and timers of one key in memory; ``calls`` counts the round trips that a state store would have."""
+    """Map states, a value state and timers in memory; ``calls`` counts the round trips that a state store would have."""
 
     def __init__(self):
-        self.held, self.value, self.timers, self.calls = {}, None, set(), 0
+        self.maps, self.value, self.timers, self.calls = {}, None, [], 0
 
-    def getMapState(self, *_):
-        return self
+    def getMapState(self, name, *_):
+        self.maps[name] = held = {}
 
-    def getValueState(self, *_):
-        return type("Value", (), {"get": lambda _: self.value, "update": lambda _, v: setattr(self, "value", v)})()
+        def counted(call):
+            def run(*args):
+                self.calls += 1
+                return call(*args)
+
+            return run
 
-    def keys(self):
-        return iter(list(self.held))
+        calls = {"getValue": held.get, "updateValue": held.__setitem__, "removeKey": held.__delitem__, "iterator": lambda: iter(list(held.items()))}
+        return SimpleNamespace(**{n: counted(c) for n, c in calls.items()})
 
-    def getValue(self, key):
-        self.calls += 1
-        return self.held[key]
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
 
-    def updateValue(self, key, value):
-        self.calls += 1
-        self.held[key] = value
+    def registerTimer(self, at):
+        self.timers.append(at)
 
-    def removeKey(self, key):
-        self.calls += 1
-        del self.held[key]
+    def chunks(self, key):
+        """The chunks of a key, in order; the newest lies with the key."""
+        older = [rows for (k, _), (rows,) in sorted(self.maps["older"].items()) if k == key]
+        return [np.frombuffer(rows, "int64").reshape(2, -1) for rows in (*older, self.maps["heads"][(key,)][5])]
 
-    def containsKey(self, key):
-        return key in self.held
 
-    def registerTimer(self, at):
-        self.timers.add(at)
+def _give(run, key, at, level, arrival=0):
+    frame = pd.DataFrame({"key": key, "at": at, "level": level, "arrival": arrival})
+    return pd.concat(run.handleInputRows((1,), iter([frame]), None))
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 512])
@@ -146,15 +149,14 @@ def test_chunks_give_what_single_rows_give(monkeypatch, chunk):
     monkeypatch.setattr(deltas, "CHUNK", chunk)
     draw = np.random.default_rng(chunk)
     for reach in (4, 40, 10**9):
-        store = _Store()
-        run = deltas.Deltas("k", "v", reach, 10**9)
+        store, run = _Store(), deltas.Deltas("k", "v", reach, 10**9)
         run.init(store)
         rows, floor, got, wanted = {}, None, {}, {}
         for step in range(15):
             batch = {int(t): int(v) for t, v in zip(draw.integers(0, 30 + 5 * step, 12), draw.integers(0, 99, 12))}
-            frame = pd.DataFrame({"at": list(batch), "level": list(batch.values()), "arrival": step})
-            for out in run.handleInputRows((1,), iter([frame]), None):
-                got |= {t: None if d is pd.NA else d for t, d in zip(out["at"], out["delta"])}
+            # Another key of the bucket has the same times and changes nothing.
+            out = _give(run, [7, 8] * len(batch), np.repeat(list(batch), 2), np.repeat(list(batch.values()), 2), step)
+            got |= {t: None if d is pd.NA else d for t, d in zip(out["at"][out["k"] == 7], out["delta"][out["k"] == 7])}
             early = [t for t in batch if floor is not None and t < floor]
             wanted |= dict.fromkeys(early)
             rows |= {t: v for t, v in batch.items() if t not in early}
@@ -163,18 +165,44 @@ def test_chunks_give_what_single_rows_give(monkeypatch, chunk):
             kept = times[max(sum(t < times[-1] - reach for t in times) - 1, 0) :]
             floor = kept[0] if len(kept) < len(times) or floor is not None else None
             rows = {t: rows[t] for t in kept}
-            parts = [np.frombuffer(v[0], "int64").reshape(2, -1) for _, v in sorted(store.held.items())]
-            assert max(p.shape[1] for p in parts) <= chunk
-            assert dict(np.concatenate(parts, axis=1).T.tolist()) == rows
+            assert max(part.shape[1] for part in store.chunks(7)) <= chunk
+            assert dict(np.concatenate(store.chunks(7), axis=1).T.tolist()) == dict(np.concatenate(store.chunks(8), axis=1).T.tolist()) == rows
             assert got == wanted
 
 
 def test_state_is_called_by_chunks_not_by_rows():
-    store = _Store()
-    run = deltas.Deltas("k", "v", 10**9, 10**9)
+    store, run = _Store(), deltas.Deltas("k", "v", 10**9, 10**9)
     run.init(store)
     for odd in (0, 1):
-        frame = pd.DataFrame({"at": range(odd, 4000, 2), "level": range(odd, 4000, 2), "arrival": odd})
-        (out,) = run.handleInputRows((1,), iter([frame]), None)
-        assert len(out) == (2000 if odd == 0 else 3999) and store.calls <= 40
+        out = _give(run, 7, range(odd, 4000, 2), range(odd, 4000, 2), odd)
+        assert len(out) == (2000 if odd == 0 else 3999) and store.calls <= 30
+    before = store.calls
+    _give(run, 7, [4001], [1])
+    assert store.calls - before <= 4
+    for key in range(100, 200):
+        _give(run, key, range(30), range(30))
+    assert store.calls - before <= 4 + 100 * 2
     assert len(store.timers) == 1
+
+
+def test_a_bucket_forgets_its_quiet_keys_alone():
+    """A late timer keeps the newest row of keys without rows for ``idle``, and comes again for the rest."""
+    store, run = _Store(), deltas.Deltas("k", "v", 10**9, 100)
+    run.init(store)
+    for key, arrival in ((1, 0), (2, 90)):
+        _give(run, key, range(5), range(5), arrival)
+    list(run.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 100), None))
+    assert [store.chunks(k)[0].shape[1] for k in (1, 2)] == [1, 5] and store.timers == [100, 190]
+    assert _give(run, 1, [2, 9], [50, 9], 200)["delta"].tolist() == [pd.NA, 5]
+    list(run.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 400), None))
+    assert [store.chunks(k)[0].tolist() for k in (1, 2)] == [[[9], [9]], [[4], [4]]] and store.timers == [100, 190] and store.value is None
+
+
+def test_keys_that_are_null_are_one_key(spark, tmp_path):
+    schema = "zone_id long, observed_at timestamp, total long"
+    spark.createDataFrame([(None, _at(1), 5), (0, _at(2), 7), (None, _at(3), 9)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    given = deltas.corrected_deltas(ingest.drops(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema))
+    with deltas.map_state(spark):
+        _run(given, f"{tmp_path}/out", f"{tmp_path}/c")
+    got = {(r.zone_id, r.observed_at.day, r.delta) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(None, 1, 5), (None, 3, 4), (0, 2, 7)}
