@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.plans import page_queries
 from driftline.sources import extract, pages, staging
 from driftline.sources.extract import Beside, Listed, Ordered, Reject, Value, read_page
 
@@ -81,6 +83,27 @@ def test_counted_pages_keep_cut_references(spark):
     assert [tuple(r) for r in got] == [(1, "A &<A R&amp", 1, 1, 1, "ok"), (2, None, 0, 0, 0, "missing")]
 
 
+ODD = {
+    "a\u00a0b": "a\u00a0b", "\u3000a\u3000b\u3000": "a\u3000b", "a\x0bb\x1c\x85": "a\x0bb\x1c\x85", " a\t\n\x0c b\r\n": "a b", "a\u00a0<b>b</b>\u2028": "a\u00a0 b \u2028",
+    "1 <3 &amp": "1 <3 &amp", "a b<": "a b<", "a <b c": "a <b c", "a<i>b</i> <!-- c": "a b <!-- c", "a <? b": "a <? b", "a </ b": "a </ b", "<i": "<i",
+}
+
+
+def test_counted_pages_keep_odd_characters_and_unfinished_tags_of_titles(spark):
+    rows = [(i, f"<title>{title}</title><script>if (a<1) b</script><h1>x</h1><p><a href='/'>y</a>") for i, title in enumerate(ODD)] + [(97, "\x0c"), (98, "\u00a0"), (99, "\r\n")]
+    table = spark.createDataFrame(rows, "page_id long, html string")
+    got = [tuple(r) for r in pages.extract_pages(table).orderBy("page_id").collect()]
+    assert got == [(i, title, 1, 1, 1, "ok") for i, title in enumerate(ODD.values())] + [(97, "", 0, 0, 0, "ok"), (98, "", 0, 0, 0, "ok"), (99, None, 0, 0, 0, "missing")]
+    with duckdb.connect() as con:
+        con.register("pages", table.toArrow())
+        assert con.execute(page_queries.ORACLE["page_reports"] + " ORDER BY page_id").fetchall() == got
+
+
+def test_parts_and_numbers_take_blanks_of_any_width():
+    row = read_page(_page(head="<h1>\u00a0Old Town\u3000<br>North / Atlantis<br>\u00a0<br># 7</h1>", bars=BAR.replace("1 666", "\u00a01\u00a0666") * 6, stats=STATS.replace(" 1 024", "&nbsp;<i>1&nbsp;024</i>")), pages.REPORT)
+    assert (row["Zone Name"], row["Region"], row["Zone ID"], row["Swarm Ending Bots"], dict(row["stats"])["Total Launches"]) == ("Old Town", "North", 7, 1666, 1024)
+
+
 def test_rejects_are_counted_and_have_no_row(spark):
     rows = [(1, _page()), (2, None), (3, _page(players="")), (4, _page(players="")), (5, _page(stats=""))]
     read = extract.extract(spark.createDataFrame(rows, "report_id long, html string"), pages.REPORT, "report_id")
